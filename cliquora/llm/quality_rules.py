@@ -55,11 +55,11 @@ def statistics(rows: DataFrame, keys: list[str], text: str, learned: bool = True
     t = t.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     if not learned:
-        return t.select(*keys, *counts)
+        return beyond(t, keys, [F.col(c) for c in counts])
     per_word = lambda c: c / F.greatest(F.col("n_words"), F.lit(1))
     n_lines = F.greatest(F.size("q_lines"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
-    return t.select(*keys, *counts, *[c.cast("double").alias(n) for n, c in zip(FEATURES, (
+    return beyond(t, keys, [F.col(c) for c in counts] + [c.cast("double").alias(n) for n, c in zip(FEATURES, (
         per_word(F.col("n_symbols")),
         per_word(F.col("word_chars")),
         F.col("n_dup_lines") / n_lines,
@@ -73,6 +73,11 @@ def statistics(rows: DataFrame, keys: list[str], text: str, learned: bool = True
     ), strict=True)])
 
 
+def beyond(t: DataFrame, keys: list[str], columns: list[Column]) -> DataFrame:
+    """t.select(*keys, *columns), beyond which no filter is pushed down: there it would hold the whole statistics many times over."""
+    return t.select(*keys, F.explode(F.array(F.struct(*columns))).alias("q_s")).select(*keys, "q_s.*")
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: str
@@ -113,6 +118,8 @@ def labelled_statistics(documents: DataFrame, labels: DataFrame) -> list[tuple]:
 
 def learn(rows: list[tuple]) -> list[Rule]:
     """Sequential covering; sets of rows are the bits of whole numbers, so that a condition's cover costs one `and`."""
+    if not rows:
+        return []
     rows = sorted(rows, key=lambda r: r[-1])
     grow = sum(1 << i for i in range(len(rows)) if i % 3)
     every = (1 << len(rows)) - 1

@@ -1,6 +1,6 @@
 r"""Substring dedup by line hashing.
 
-Units are the lines of a text, normalised (lower case, words joined by one space) and hashed to 128 bits. Digests are grouped
+Units are the lines of a text, normalised (case folded, words joined by one space) and hashed to 128 bits. Digests are grouped
 over all texts: the occurrence of the least (key, position) stays, every other one is a repeat. Repeated lines that follow one
 another make a run; runs of MIN_WORDS words or more are removed, whatever lines they have, shorter ones stay (a licence line
 or a greeting is no passage). Lines without a word belong to the run around them and never count.
@@ -27,7 +27,7 @@ def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of each line that has a word; end is that of the line without its line feed."""
     out, at = [], 0
     for line in text.split("\n"):
-        own = line.encode().lower().split()
+        own = line.casefold().encode().split()
         if own:
             out.append((at, at + len(line), len(own), hashlib.md5(b" ".join(own)).digest()))
         at += len(line) + 1

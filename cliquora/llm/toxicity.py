@@ -14,7 +14,7 @@ columns of the input are never read.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 #: At most so many labelled rows of each class are fitted on, the first by a hash of doc_id.
 MAX_PER_CLASS = 1500
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 18, 1 << 13
-#: A window is toxic if this share of the toxic training texts has it, and 20 times as many toxic texts as ordinary ones.
-LEAST_SHARE, LEAST_RATIO = 0.01, 20
+#: A word is toxic if so large a share of the toxic training texts has it (three texts at least; the share that does best on
+#: the held rows is taken), and so many times the share of the ordinary ones.
+LEAST_SHARES, LEAST_RATIO = (0.005, 0.01, 0.02, 0.04), 20
 LEVEL = 3
 #: Words of a window, and its most bytes.
 WINDOW, LONGEST_WINDOW = 6, 256
@@ -128,26 +129,27 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
     counts = {0: Counter(), 1: Counter()}
     for text, label in made:
         counts[label].update(set(bare(text)))
-    least = max(2, LEAST_SHARE * sum(label for _, label in made))
-    toxic = Counter({w: k for w, k in counts[1].items() if k >= least and k >= LEAST_RATIO * counts[0][w]})
-    ordinary = Counter({w: k for w, k in (counts[0] + counts[1]).items() if w not in toxic})
-    plain = dictionary(ordinary, ORDINARY_BYTES)
-    model = Model(plain + dictionary(toxic, TOXIC_BYTES), plain, 1, (-2.0, 0.0, 0.0, 0.0, 0.0))
+    n = [max(1, sum(label == k for _, label in made)) for k in (0, 1)]
     y = np.array([label for _, label in held], float)
-    if not 0 < y.sum() < len(y):
-        return model
-    gains = Gains(model.toxic, model.ordinary)
-    own = [gains(text) for text, _ in held]
     best = None
-    for margin in range(1, 13):
-        x = inputs(np.array([(len(g), (g >= margin).sum(), (g >= margin + CLEAR).sum()) for g in own], float))
-        w = logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
-        if best is None or loss < best[0] - 1e-4:
-            best = loss, margin, w
-    model.margin, model.weights = best[1], tuple(map(float, best[2]))
-    return model
+    for least in sorted({max(3, share * n[1]) for share in LEAST_SHARES}):
+        toxic = Counter({w: k for w, k in counts[1].items() if k >= least and k * n[0] >= LEAST_RATIO * counts[0][w] * n[1]})
+        ordinary = Counter({w: k for w, k in (counts[0] + counts[1]).items() if w not in toxic})
+        plain = dictionary(ordinary, ORDINARY_BYTES)
+        model = Model(plain + dictionary(toxic, TOXIC_BYTES), plain, 1, (-2.0, 0.0, 0.0, 0.0, 0.0))
+        if not 0 < y.sum() < len(y):
+            return model
+        gains = Gains(model.toxic, model.ordinary)
+        own = [gains(text) for text, _ in held]
+        for margin in range(1, 9):
+            x = inputs(np.array([(len(g), (g >= margin).sum(), (g >= margin + CLEAR).sum()) for g in own], float))
+            w = logistic(x, y)
+            p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
+            loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+            if best is None or loss < best[0] - 1e-4:
+                model.margin, model.weights = margin, tuple(map(float, w))
+                best = loss, replace(model)
+    return best[1]
 
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[bytes, int]]:
