@@ -1,4 +1,119 @@
-"""The registered queries of the engine's own operators, and the same in SQL."""
+"""The registered queries of the engine's own operators, each over whole tables, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cliquora.model import SimplicialComplex
+from cliquora.operators import cliques, components, ensemble, pairs, persistence, vectors
+from cliquora.plans import views
+from cliquora.plans.oracles import ORACLES
+from cliquora.sources import matrices
+
+joined = lambda c: F.array_join(c, " ")
+digits = lambda df, n=6: df.withColumn("value", F.round("value", n))
+
+
+def on_orders(operator):
+    return lambda s, d: operator(views.orders_complex(s, d)).drop("complex_id")
+
+
+def on_suppliers(operator):
+    return lambda s, d: operator(views.suppliers_complex(s, d)).drop("complex_id")
+
+
+def on_nations(operator):
+    return lambda s, d: operator(views.nation_complex(s, d)).drop("complex_id")
+
+
+def full(k) -> DataFrame:
+    r = vectors.full_characterisation(k)
+    graded = r.graded.select(F.lit("graded").alias("kind"), F.col("q").cast("long").alias("at"), F.col("vector").alias("name"), F.round("value", 6).alias("value"))
+    vertex = r.vertices.select(F.lit("vertex").alias("kind"), F.col("vertex").alias("at"), F.lit("dimensionality").alias("name"), F.col("value").cast("double").alias("value"))
+    order = r.order.select(F.lit("order").alias("kind"), F.lit(0).cast("long").alias("at"), F.lit("order").alias("name"), F.col("value").cast("double").alias("value"))
+    return graded.unionByName(vertex).unionByName(order)
+
+
+def diagram(found: DataFrame) -> DataFrame:
+    return found.select("q", "birth", "death", "size", joined("members").alias("members"))
+
+
+def edge_of_first(s, d) -> DataFrame:
+    """The maximal cliques through the graph's first edge."""
+    edges = views.nation_graph(s, d).select("complex_id", "u", "v")
+    first = edges.orderBy("u", "v").first()
+    found = cliques.maximal_cliques(edges, views.nation_vertices(s, d))
+    return (found.where("false") if first is None else cliques.edge_cliques(found, first.u, first.v)).select(joined("members").alias("members"))
+
+
+def sample_counts(s, d) -> DataFrame:
+    return views.samples(s, d).groupBy("grp").agg(F.count("*").alias("n"))
+
+
+def group_vertices(s, d) -> DataFrame:
+    groups = s.createDataFrame([("kept",), ("returned",)], "grp string").withColumn("complex_id", views.zero())
+    return groups.join(views.nation_vertices(s, d), "complex_id").select("grp", "vertex")
+
+
+def sample_vectors(s, d) -> DataFrame:
+    name = F.concat_ws(" ", "grp", "sample").alias("complex_id")
+    edges = views.yearly(s, d).select(name, "u", "v")
+    vertices = edges.select("complex_id").distinct().withColumn("zero", F.lit(0).cast("long")).join(views.nation_vertices(s, d).withColumnRenamed("complex_id", "zero"), "zero").select("complex_id", "vertex")
+    return vectors.graded(SimplicialComplex.from_graph(edges, vertices))
+
+
+def permutation(s, d) -> DataFrame:
+    name = F.concat_ws(" ", "grp", "sample").alias("sample_id")
+    edges = views.yearly(s, d).select(name, "u", "v")
+    samples = views.samples(s, d).select(name, "grp")
+    return ensemble.permutation_test(edges, views.nation_vertices(s, d).select("vertex"), samples, "kept", "returned", n_resamples=99, threshold=0.5)
+
+
+QUERIES = {
+    "bundle": on_nations(lambda k: digits(vectors.graded(k))),
+    "simplex_count": on_orders(vectors.simplex_count),
+    "ssv": on_orders(vectors.second_structure_vector),
+    "order": on_orders(vectors.order),
+    "counts": on_orders(vectors.counts),
+    "vertices": on_orders(vectors.vertices),
+    "dims": on_orders(lambda k: k.dims()),
+    "occupation": on_orders(vectors.occupation),
+    "occupation_probability": on_orders(lambda k: digits(vectors.occupation_probability(k), 9)),
+    "entropy": on_orders(lambda k: digits(vectors.entropy(k))),
+    "dimensionality": on_orders(vectors.dimensionality),
+    "skeleton": on_orders(lambda k: vectors.upper_skeleton(k, 3).simplices.select("complex_id", "sid", joined("members").alias("members"))),
+    "incidence": on_orders(lambda k: k.incidence()),
+    "incidence_matrix": on_nations(lambda k: vectors.incidence_matrix(k, list(range(25))).withColumnsRenamed({str(v): f"v{v}" for v in range(25)})),
+    "shared_faces": on_suppliers(pairs.shared_faces),
+    "connectivity": on_suppliers(lambda k: pairs.connectivity(k, dense=True)),
+    "eccentricity": on_suppliers(lambda k: digits(pairs.eccentricity(k))),
+    "family_eccentricity": on_suppliers(lambda k: digits(pairs.family_eccentricity(k))),
+    "maximal_cliques": lambda s, d: cliques.maximal_cliques(views.nation_graph(s, d).select("complex_id", "u", "v"), views.nation_vertices(s, d)).select(joined("members").alias("members"), F.size("members").alias("size")),
+    "k_cliques": lambda s, d: cliques.k_cliques(views.nation_graph(s, d).select("complex_id", "u", "v"), 5).select(joined("members").alias("members"), "size"),
+    "edge_cliques": edge_of_first,
+    "components": on_nations(components.q_components),
+    "fsv": on_nations(vectors.first_structure_vector),
+    "tsv": on_nations(lambda k: digits(vectors.third_structure_vector(k))),
+    "full_characterisation": lambda s, d: full(views.nation_complex(s, d)),
+    "graph_components": lambda s, d: components.graph_components(views.nation_graph(s, d).select("complex_id", "u", "v"), views.nation_vertices(s, d)).select("q", joined("vertices").alias("vertices")),
+    "graph_components_capped": lambda s, d: components.graph_components(views.nation_graph(s, d).select("complex_id", "u", "v"), views.nation_vertices(s, d), 3).select("q", joined("vertices").alias("vertices")),
+    "projection": on_nations(lambda k: ensemble.projection(k, 2)),
+    "projection_weighted": on_nations(lambda k: ensemble.projection(k, 2, weighted=True)),
+    "clique_filter": lambda s, d: ensemble.clique_filter(views.nation_graph(s, d), 4).drop("complex_id"),
+    "edge_cleaning": lambda s, d: matrices.clean_edges(views.read(s, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("u"), F.col("l_partkey").cast("long").alias("v"), F.col("l_extendedprice").cast("double").alias("w"))).drop("complex_id"),
+    "persistence": lambda s, d: diagram(persistence.persistent_communities(views.region_distances(s, d))),
+    "persistence_capped": lambda s, d: diagram(persistence.persistent_communities(views.nation_distances(s, d), 1)),
+    "persistence_q0": lambda s, d: diagram(persistence.persistent_communities(views.nation_distances(s, d), 0)),
+    "persistence_matrix": lambda s, d: diagram(persistence.of_distance_matrix(views.label_matrix(s, d), 2)),
+    "persistence_quantised": lambda s, d: diagram(persistence.persistent_communities(views.region_distances(s, d), digits=-2)),
+    "diagram_sizes": lambda s, d: persistence.persistent_communities(views.region_distances(s, d)).groupBy("q", "size").agg(F.count("*").alias("value")),
+    "consensus": lambda s, d: ensemble.consensus(views.yearly(s, d), sample_counts(s, d)),
+    "consensus_vectors": lambda s, d: digits(ensemble.consensus_vectors(views.yearly(s, d), group_vertices(s, d), sample_counts(s, d))).withColumnRenamed("complex_id", "grp"),
+    "consensus_difference": lambda s, d: digits(ensemble.consensus_statistic(views.yearly(s, d), group_vertices(s, d), sample_counts(s, d), "kept", "returned")),
+    "padded_vectors": lambda s, d: digits(vectors.padded(sample_vectors(s, d))).withColumnRenamed("complex_id", "g"),
+    "long_to_wide": lambda s, d: vectors.wide(digits(vectors.graded(views.nation_complex(s, d)))).drop("complex_id"),
+    "median_panel": lambda s, d: digits(ensemble.median_panel(sample_vectors(s, d).withColumn("grp", F.split("complex_id", " ")[0]))),
+    "permutation_test": permutation,
+}
+__all__ = ["ORACLES", "QUERIES"]
