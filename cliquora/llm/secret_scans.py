@@ -77,7 +77,9 @@ def labelled_samples(spark: SparkSession, documents: DataFrame) -> DataFrame:
     coded = F.base64(F.unhex(digest))
     forms = F.array(F.substring(digest, 1, 40), F.substring(F.regexp_replace(coded, "[+/=]", ""), 1, 32), F.substring(coded, 1, 40), F.substring(F.regexp_replace(F.upper(coded), "[^A-Z0-9]", ""), 1, 24))
     random = ids.select(F.explode(forms).alias("string"), F.lit(1).alias("random"))
-    few = documents.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(MAX_DOCUMENTS)
+    # ids alone are ranked, so that no task gathers texts
+    ids = documents.where("text is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS)
+    few = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     plain = F.filter(F.split(F.regexp_replace("text", r"[^A-Za-z_]+", " "), " "), lambda w: (F.length(w) >= 3) & (F.length(w) <= 40))
     own = few.select(F.explode(let(plain, lambda w: F.transform(w, lambda x, i: F.struct(x.alias("a"), F.coalesce(F.get(w, i + 1), F.lit("id")).alias("b"), F.coalesce(F.get(w, i + 2), F.lit("name")).alias("c"), (i % 8).alias("k"))))).alias("w"))
     a, b, c, k = (F.col(f"w.{x}") for x in "abck")
