@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cliquora.llm.common import durable
+
 MIN_WORDS = 50
 
 UNITS = "`{key}` {kind}, copy long, unit int, start int, end int, words int, digest binary"
@@ -59,11 +61,10 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     keeper: the key of the text that keeps the span's first line.
     """
-    from cliquora.llm.common import durable
-
     found = durable(units(documents, key, text))
     rank = F.struct(key, "copy", "unit")
-    firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that both sides of the join are shuffled for it and Spark can split the lines that a third of the texts have
+    firsts = durable(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     repeats = found.join(firsts, "digest").where(rank != F.col("first")).select(key, "copy", "unit", "start", "end", "words", F.col("first")[key].alias("keeper"))
     texts = repeats.dropDuplicates([key, "copy", "unit"]).groupBy(key, "copy").agg(F.sort_array(F.collect_list(F.struct("unit", "start", "end", "words", "keeper"))).alias("own"))
     # runs of units that follow one another, as one fold over a text's own repeats
