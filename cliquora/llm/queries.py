@@ -47,7 +47,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(k,) for k in url_filters.LISTED], "key string")
+    listed = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in url_filters.LISTED])).alias("key"))
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), listed)
 
 
