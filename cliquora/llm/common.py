@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cliquora.operators.durable import durable
+
+__all__ = ["GAP", "SPACE", "WORD", "durable", "let", "n_words", "positive_hash", "table", "text_of", "words"]
+
 #: The characters that separate words, and the words between them.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,17 +39,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's checkpoint folder and read back: no lineage, and it survives lost executors.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cliquora-"))
-    return df.checkpoint(eager=True)
-
-
 def positive_hash(*columns: Column) -> Column:
     """A 60-bit hash that other SQL engines can compute too."""
     key = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])

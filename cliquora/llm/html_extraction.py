@@ -36,7 +36,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr acronym b bdi bdo big br cite code data dfn del em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = set("script style head title template svg math noscript iframe object canvas audio video select textarea button".split())
 RAW = set("script style textarea title".split())
-CLOSES = {"p": set("p".split()), "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+CLOSES = {"p": set("p".split()), "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 TAGS = "html body article main section div p h1 h2 h3 ul ol li nav header footer aside form table td blockquote pre figure dl".split()
 ABOVE_TAGS = "article main section nav header footer aside form ul table blockquote".split()
@@ -142,16 +142,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         flush()
         if tag == "html":
             continue
-        for i in range(len(stack) - 1, 0, -1) if tag in CLOSES else range(len(stack) - 1, 0, -1):
+        # a block ends the paragraph around it; items and cells end those of the same list or table
+        for i in range(len(stack) - 1, 0, -1):
             name = stack[i][0]
-            if name in CLOSES.get(tag, ()) or name == "p" and tag not in INLINE:
+            if name == "p" or name in CLOSES.get(tag, ()):
                 del stack[i:]
-                if name == "p" and tag in CLOSES and tag != "p":
-                    continue
-                break
-            if name in INLINE:
-                continue
-            if name in SCOPES.get(tag, ()) or tag not in SCOPES:
+                if name != "p" or tag not in SCOPES:
+                    break
+            elif name not in INLINE and (tag not in SCOPES or name in SCOPES[tag]):
                 break
         if tag in VOID:
             continue

@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliquora.llm.common import durable
+from cliquora.operators.components import stars
 
 SHINGLE, SEED, MOST = 3, 42, 2
 PIVOTS, CELL = 16, 512
-ROUNDS = 60
 
 
 def hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -116,34 +116,11 @@ def links(fingerprints: DataFrame, most: int = MOST, n_pivots: int = PIVOTS, cel
     return found.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node that it is connected with) of every node of the edges (a, b), by alternating stars."""
-    edges = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    state = None
-    for _ in range(ROUNDS):
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")).first()
-        if now == state or not now.n:
-            break
-        state = now
-        # large star: larger neighbours go to the least one of the node and its neighbours
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        edges = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        # small star: the node and its smaller neighbours go to the least of these
-        least = edges.groupBy("b").agg(F.min("a").alias("m"))
-        moved = edges.join(least, "b")
-        edges = durable(moved.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct())
-    else:
-        raise ValueError("the components do not settle")
-    least = edges.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root")
-    return least.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-
-
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, most: int = MOST) -> DataFrame:
     """key, fp, component_id (the least key that is reachable, itself included) of every row."""
     marked = durable(with_fingerprints(documents, key, text, width))
     distinct = durable(marked.groupBy("fp").agg(F.min(key).alias("least")))
-    found = components(links(distinct.select("fp"), most))
+    found = stars(links(distinct.select("fp"), most))
     classes = distinct.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = durable(classes)
     # only classes of several fingerprints need another one's least key

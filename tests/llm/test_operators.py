@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from cliquora.operators.components import stars
 from cliquora.llm import html_extraction, media_columns, mixing, packing, quality_rules, queries, secret_scans, simhash, substring_dedup, toxicity, url_filters
 
 DATA = "/root/testdata/sf0.001"
@@ -467,7 +468,7 @@ def test_simhash_links(spark, monkeypatch, cell):
         fps.append(r.choice(fps) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
     fps = sorted(set(fps))
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
-    found = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), cell=cell))
+    found = stars(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), cell=cell))
     root = {x.node: x.root for x in found.collect()}
     want = plain_components(dict(zip(signed, fps, strict=True)))
     groups = lambda of: sorted(sorted(g) for g in {k: [x for x in signed if of(x) == k] for k in map(of, signed)}.values())
@@ -476,5 +477,5 @@ def test_simhash_links(spark, monkeypatch, cell):
 
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (7, 7)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in stars(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100}
