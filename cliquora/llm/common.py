@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cliquora.operators.durable import durable
 
-__all__ = ["GAP", "SPACE", "WORD", "durable", "let", "n_words", "positive_hash", "table", "text_of", "words"]
+__all__ = ["GAP", "SPACE", "WORD", "durable", "let", "n_words", "positive_hash", "running", "table", "text_of", "words"]
 
 #: The characters that separate words, and the words between them.
 SPACE = " \t\n\x0b\x0c\r"
@@ -39,6 +39,28 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Items that a running total copies at a time.
+RUN = 256
+
+
+def running(items: Column, zero: Column, add) -> Column:
+    """The totals up to and with each item, of the items' type; add is associative and zero its neutral element.
+
+    An array grows by copying, so that totals run within blocks of RUN items, and from block to block.
+    """
+    def within(own: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.filter(own, lambda _: F.lit(False)).alias("all"))
+        step = lambda acc, x: let(add(acc["at"], x), lambda now: F.struct(now.alias("at"), F.concat(acc["all"], F.array(now)).alias("all")))
+        return F.aggregate(own, start, step)["all"]
+
+    def joined(blocks: Column) -> Column:
+        before = within(F.transform(blocks, lambda b: F.aggregate(b, zero, add)), zero)
+        return let(before, lambda sums: F.flatten(F.transform(blocks, lambda b, i: within(b, F.coalesce(F.get(sums, i - 1), zero)))))
+
+    blocks = lambda own: F.transform(F.sequence(F.lit(1), F.size(own), F.lit(RUN)), lambda i: F.slice(own, i, RUN))
+    return let(items, lambda own: F.when(F.size(own) == 0, own).otherwise(let(blocks(own), joined)))
+
+
 def positive_hash(*columns: Column) -> Column:
     """A 60-bit hash that other SQL engines can compute too."""
     key = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])

@@ -113,6 +113,8 @@ def labelled_statistics(documents: DataFrame, labels: DataFrame) -> list[tuple]:
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     stats = statistics(rows, ["doc_id", "q_quality"], "text")
+    # of rows with the same id the least: however many share it, the sample stays as large
+    stats = stats.groupBy("doc_id", "q_quality").agg(F.min(F.struct(*FEATURES)).alias("least")).select("doc_id", "q_quality", "least.*")
     return sorted((int(r.q_quality == 0), *[r[f] for f in FEATURES], r.doc_id) for r in stats.collect())
 
 

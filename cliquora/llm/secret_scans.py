@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliquora.llm.common import let, text_of
+from cliquora.llm.common import let, running, text_of
 
 #: Kind to pattern, and the shortest string that counts (of the group for assign).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,23 +34,44 @@ STATES = len(ALPHABET) + 1
 RANDOM_STRINGS, MAX_DOCUMENTS = 4000, 1000
 
 Spans = "array<struct<start:int,end:int,kind:int>>"
+Parts = "array<struct<start:int,end:int,kind:int,part:string>>"
 
 
-def spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
-    """The spans of a pattern's matches whose group has `least` characters or more; null where there are none."""
-    def placed(gaps: Column, whole: Column, part: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(Spans).alias("found"))
+def bare(found: Column) -> Column:
+    """Spans without their parts."""
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+
+def apart(found: Column, base: Column) -> Column:
+    """The spans of found, which don't overlap one another, that touch none of base.
+
+    One touches a base span if and only if the largest end of the base spans that start before its own end is beyond its start:
+    one sort and one running maximum, however many spans there are.
+    """
+    edges = F.sort_array(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("is_base"), b["end"].alias("reach"), F.lit(-1).alias("which"))),
+        F.transform(found, lambda x, i: F.struct(x["end"].alias("at"), F.lit(0).alias("is_base"), F.lit(0).alias("reach"), i.alias("which"))),
+    ))
+    def free(e: Column) -> Column:
+        reach = running(F.transform(e, lambda x: x["reach"]), F.lit(0), lambda a, x: F.greatest(a, x))
+        own = let(reach, lambda r: F.filter(F.transform(e, lambda x, i: F.struct(x["which"].alias("which"), F.get(r, i).alias("reach"))), lambda x: x["which"] >= 0))
+        # a found span's edge is its end, so that the edges are in the order of the spans
+        return let(own, lambda o: F.filter(found, lambda x, i: F.get(o, i)["reach"] <= x["start"]))
+    return F.when((F.size(found) > 0) & (F.size(base) > 0), let(edges, free)).otherwise(found)
 
-        def step(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.length(F.element_at(gaps, i))
-            end = begin + F.length(F.element_at(whole, i))
-            span = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
-            more = F.when(F.length(F.element_at(part, i)) >= least, F.concat(acc["found"], span)).otherwise(acc["found"])
-            return F.struct(end.alias("at"), more.cast(Spans).alias("found"))
 
-        return F.when(F.size(whole) > 0, F.aggregate(F.sequence(F.lit(1), F.size(whole)), start, step)["found"])
+def spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
+    """The spans of a pattern's matches whose group, their part, has `least` characters or more; null where there are none."""
+    def placed(gaps: Column, whole: Column, part: Column) -> Column:
+        lengths = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, w: F.length(g) + F.length(w))
+        one = lambda ends: lambda w, i: F.struct((F.get(ends, i) - F.length(w)).alias("start"), F.get(ends, i).alias("end"), F.lit(kind).alias("kind"), F.get(part, i).alias("part"))
+        found = let(running(lengths, F.lit(0), lambda a, x: a + x), lambda ends: F.filter(F.transform(whole, one(ends)), lambda s: F.length(s["part"]) >= least))
+        return F.when(F.size(whole) > 0, found)
 
-    return let(F.split(text, pattern), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda whole: placed(gaps, whole, whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))))
+    # each list is found once a text, not once a match
+    matches = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    parts = lambda whole, body: body(whole) if group == 0 else let(matches(group), body)
+    return let(F.split(text, pattern), lambda gaps: let(matches(0), lambda whole: parts(whole, lambda part: placed(gaps, whole, part))))
 
 
 @dataclass(frozen=True)
@@ -79,7 +100,7 @@ def labelled_samples(spark: SparkSession, documents: DataFrame) -> DataFrame:
     random = ids.select(F.explode(forms).alias("string"), F.lit(1).alias("random"))
     # ids alone are ranked, so that no task gathers texts
     ids = documents.where("text is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS)
-    few = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    few = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     plain = F.filter(F.split(F.regexp_replace("text", r"[^A-Za-z_]+", " "), " "), lambda w: (F.length(w) >= 3) & (F.length(w) <= 40))
     own = few.select(F.explode(let(plain, lambda w: F.transform(w, lambda x, i: F.struct(x.alias("a"), F.coalesce(F.get(w, i + 1), F.lit("id")).alias("b"), F.coalesce(F.get(w, i + 2), F.lit("name")).alias("c"), (i % 8).alias("k"))))).alias("w"))
     a, b, c, k = (F.col(f"w.{x}") for x in "abck")
@@ -125,13 +146,12 @@ def scan(documents: DataFrame, models: Models, keys=("doc_id",), text: str = "te
         (r"AKIA[A-Z0-9]{12}", spans(t, ACCESS, 1, 0, 16)),
         (r"[0-9a-f]{32}", spans(t, HEX, 2, 0, 32)),
     ]
-    rows = rows.withColumn("s_base", F.concat(*[F.coalesce(F.when(t.rlike(hint), s), none) for hint, s in found]))
+    rows = rows.withColumn("s_base", F.concat(*[F.coalesce(F.when(t.rlike(hint), bare(s)), none) for hint, s in found]))
     # candidates, each with its place; those that touch a base span are known already
-    rows = rows.withColumn("s_candidates", F.coalesce(F.when(t.rlike(CANDIDATE), spans(t, CANDIDATE, 3, 0, 20)), none))
-    touches = lambda x: F.exists("s_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    rows = rows.withColumn("s_candidates", F.filter("s_candidates", lambda x: ~touches(x)))
-    secret = lambda x: models.mean_ratio(F.substr(F.col("s_text"), x["start"] + 1, x["end"] - x["start"])) >= models.threshold
-    rows = rows.withColumn("s_more", F.when(F.size("s_candidates") > 0, F.filter("s_candidates", secret)).otherwise(none))
+    rows = rows.withColumn("s_candidates", F.coalesce(F.when(t.rlike(CANDIDATE), spans(t, CANDIDATE, 3, 0, 20)), F.array().cast(Parts)))
+    rows = rows.withColumn("s_candidates", apart(F.col("s_candidates"), F.col("s_base")))
+    secret = lambda x: models.mean_ratio(x["part"]) >= models.threshold
+    rows = rows.withColumn("s_more", F.when(F.size("s_candidates") > 0, bare(F.filter("s_candidates", secret))).otherwise(none))
     return rows.select(*keys, F.sort_array("s_base").alias("s_base"), F.sort_array(F.concat("s_base", "s_more")).alias("s_spans"), "s_text")
 
 
@@ -151,12 +171,9 @@ def digest(found: DataFrame, keys=("doc_id",)) -> DataFrame:
 def redact(documents: DataFrame, models: Models, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """documents with every secret replaced by mark (overlapping spans become one), all other columns as they are."""
     found = scan(documents.select(F.struct("*").alias("s_row"), F.col(text).alias("s_input")), models, ["s_row"], "s_input")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substr(F.col("s_text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
-
-    clean = F.aggregate("s_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(F.col("s_text"), acc["at"] + 1, F.length("s_text"))))
+    piece = lambda s, at: F.concat(F.substr(F.col("s_text"), at + 1, s["start"] - at), F.lit(mark))
+    own = lambda ends: F.transform("s_spans", lambda s, i: let(F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda at: F.when(s["start"] >= at, piece(s, at)).otherwise("")))
+    ends = running(F.transform("s_spans", lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+    clean = let(ends, lambda e: F.concat(F.array_join(own(e), ""), F.substr(F.col("s_text"), F.element_at(e, -1) + 1, F.length("s_text"))))
     redacted = F.when(F.size("s_spans") > 0, clean).otherwise(F.col(f"s_row.{text}"))
     return found.withColumn("s_clean", redacted).select(*[F.col("s_clean").alias(text) if c == text else F.col(f"s_row.`{c}`") for c in documents.columns])

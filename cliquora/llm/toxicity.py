@@ -160,7 +160,9 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[bytes,
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = usable.where("toxic = 1").orderBy(*order).limit(MAX_PER_CLASS).unionByName(usable.where("toxic = 0").orderBy(*order).limit(MAX_PER_CLASS))
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
-    return [(bytes(r.text), r.toxic) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))]
+    # of texts with the same id the least: however many rows share it, the sample stays as large
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return [(bytes(r.text), r.toxic) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
 def score_toxicity(documents: DataFrame, model: Model) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cliquora.operators.components import stars
-from cliquora.llm import html_extraction, media_columns, mixing, packing, quality_rules, queries, secret_scans, simhash, substring_dedup, toxicity, url_filters
+from cliquora.llm import common, html_extraction, media_columns, mixing, packing, quality_rules, queries, secret_scans, simhash, substring_dedup, toxicity, url_filters
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -203,6 +203,36 @@ def test_redaction(documents, models):
         assert r.text == (want + text[at:] if spans else text)
 
 
+def test_many_secrets_in_one_text(spark, models):
+    """More spans than a block of the running totals, of all kinds, touching and apart."""
+    r = random.Random(11)
+    kinds = [
+        lambda: f"password = {r.randbytes(6).hex()}", lambda: "token=ab", lambda: "AKIA" + "".join(r.choices("ABCDEFGH0123", k=16)), lambda: r.randbytes(r.randrange(8, 24)).hex(),
+        lambda: "".join(r.choices(secret_scans.ALPHABET[:62], k=r.randrange(18, 40))), lambda: "plain_words_of_an_identifier", lambda: "é日", lambda: "secret:" + r.randbytes(20).hex(),
+    ]
+    texts = [" ".join(r.choice(kinds)() for _ in range(n)) for n in (1500, 9000)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in secret_scans.scan(documents, models).select("doc_id", "s_spans").collect():
+        text = texts[row.doc_id]
+        want = sorted(plain_base(text) + plain_models(models, text))
+        assert len(want) > 2 * common.RUN and [(s.start, s.kind, s.end) for s in sorted(row.s_spans, key=lambda s: (s.start, s.kind))] == want
+    for row in secret_scans.redact(documents, models).collect():
+        text, at, want = texts[row.doc_id], 0, ""
+        for s, _, e in sorted(plain_base(text) + plain_models(models, text)):
+            if s >= at:
+                want += text[at:s] + "[secret]"
+            at = max(at, e)
+        assert row.text == want + text[at:]
+
+
+def test_samples_stay_small_however_many_rows_share_an_id(spark):
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    documents = spark.createDataFrame([(i, f"text {i} {k % 3}") for i in range(30) for k in range(1 if i else 200)], "doc_id long, text string")
+    assert len(quality_rules.labelled_statistics(documents, labels)) == 30
+    ids = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(toxicity.training_rows(documents, labels)) == sorted((f"text {i} 0".encode(), (i + 1) % 2) for i in ids)
+
+
 # 4. Toxicity
 
 
