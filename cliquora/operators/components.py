@@ -126,7 +126,8 @@ def components_at(k, q: int) -> DataFrame:
     """(complex_id, sid, component) at one q; IndexError below 0 and above the order of every complex."""
     from cliquora.operators.vectors import order
 
-    if q < 0 or q > (order(k).agg(F.max("value")).first()[0] or -1):
+    top = order(k).agg(F.max("value")).first()[0]
+    if q < 0 or top is None or q > top:
         raise IndexError(f"no level {q}")
     return q_components(k).where(F.col("q") == q).drop("q")
 
