@@ -9,7 +9,9 @@ The trees are fitted on TRAINING_PAGES generated pages whose parts are known (ar
 notices, adverts, forms, comments); the generator is seeded, so that every run has the same model.
 
 Null and empty pages have empty text. Unclosed, misnested and cut-off markup is closed where the next block starts or the page
-ends. Very long pages are parsed in one pass. Repeated rows give equal texts. An empty table gives no rows.
+ends; a head ends at the first tag that can't be in it, a hidden paragraph, item or cell where the next one starts or what it is in
+ends, and of other hidden or dropped elements without an end tag only the start tag goes (of script, style, textarea and title the
+rest of the page). Very long pages are parsed in one pass. Repeated rows give equal texts. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ DROPPED = set("script style head title template svg math noscript iframe object
 RAW = set("script style textarea title".split())
 CLOSES = {"p": set("p".split()), "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+#: What may be in a head, and what is closed without an end tag.
+IN_HEAD = set("base link meta title style script noscript template".split())
+IMPLIED = set("p li dt dd tr td th".split())
 TAGS = "html body article main section div p h1 h2 h3 ul ol li nav header footer aside form table td blockquote pre figure dl".split()
 ABOVE_TAGS = "article main section nav header footer aside form ul table blockquote".split()
 
@@ -65,6 +70,81 @@ class Node:
     kinds: dict = field(default_factory=dict)
 
 
+def paired(page: str, tag: str) -> dict[int, int]:
+    """Where each start tag of this name begins -> where its end tag ends, over elements of the same name within. Unclosed ones are not there."""
+    found, opened = {}, []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?![\w-])[^>]*>", page, re.I):
+        if not m[1]:
+            opened.append(m.start())
+        elif opened:
+            found[opened.pop()] = m.end()
+    return found
+
+
+def raw_end(page: str, at: int, tag: str) -> int:
+    e = re.compile(rf"</{re.escape(tag)}(?![\w-])[^>]*>", re.I).search(page, at)
+    return e.end() if e else len(page)
+
+
+def head_end(page: str, at: int) -> int:
+    """Where the head ends whose content begins here: after its end tag, or before the first text or tag that can't be in it."""
+    pairs: dict[str, dict[int, int]] = {}
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        tag = (m[2] or m[5] or "").lower()
+        if not tag:
+            if m[0].strip() and not (m[0][0] == "<" and len(m[0]) > 1):
+                return at
+        elif m[1] or m[4]:
+            if tag in ("head", "body", "html"):
+                return m.end() if tag == "head" else at
+        elif tag == "head":
+            pass
+        elif tag not in IN_HEAD:
+            return at
+        elif tag in RAW:
+            at = raw_end(page, m.end(), tag)
+            continue
+        elif tag in DROPPED:
+            if tag not in pairs:
+                pairs[tag] = paired(page, tag)
+            at = pairs[tag].get(at, m.end())
+            continue
+        at = m.end()
+    return at
+
+
+def implied_end(page: str, at: int, tag: str, around: set[str]) -> int:
+    """Where a paragraph, item or cell ends whose content begins here, with its end tag or without; around: the elements it is in."""
+    inner: list[str] = []
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        name = (m[2] or m[5] or "").lower()
+        if not name:
+            pass
+        elif m[1] or m[4]:
+            if name in inner:
+                while inner.pop() != name:
+                    pass
+            elif name == tag:
+                return m.end()
+            elif name in around and name not in INLINE:
+                return at
+        elif tag == "p" and name not in INLINE and name not in DROPPED and all(t in INLINE for t in inner):
+            return at
+        elif tag in CLOSES.get(name, ()) and tag != "p" and not any(t in SCOPES[name] for t in inner):
+            return at
+        elif tag in ("tr", "td", "th") and name in ("tbody", "thead", "tfoot") and "table" not in inner:
+            return at
+        elif name in RAW:
+            at = raw_end(page, m.end(), name)
+            continue
+        elif name not in VOID:
+            inner.append(name)
+        at = m.end()
+    return at
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements in page order (0 is the root), and the blocks: (node, text with single spaces)."""
     nodes = [Node("html", -1, 0, (), 0)]
@@ -72,7 +152,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     # open elements: (tag, node), of inline ones the node around them
     stack: list[tuple[str, int]] = [("html", 0)]
     parts: list[str] = []
-    linked, total, at, end, skip = 0, 0, 0, len(page), None
+    pairs: dict[str, dict[int, int]] = {}
+    linked, total, at, end = 0, 0, 0, len(page)
 
     def flush() -> None:
         nonlocal total, linked
@@ -121,17 +202,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in DROPPED or HIDDEN.search(attributes):
             if tag in VOID:
                 continue
-            # all of it goes: up to its end tag, over elements of the same name within
-            depth, ends = 1, re.compile(rf"<(/?){re.escape(tag)}(?![\w-])[^>]*>", re.I)
-            while depth:
-                e = ends.search(page, at)
-                if not e:
-                    at = end
-                    break
-                at = e.end()
-                depth = 0 if tag in RAW and e[1] else depth + (-1 if e[1] else (tag not in RAW))
-            if tag == "head" and at == end:
-                break
+            # all of it goes: up to its end tag, or up to where it ends without one; of others that are never closed the start tag
+            if tag == "head":
+                at = head_end(page, at)
+            elif tag in RAW:
+                at = raw_end(page, at, tag)
+            elif tag in IMPLIED:
+                at = implied_end(page, at, tag, {t for t, _ in stack})
+            else:
+                if tag not in pairs:
+                    pairs[tag] = paired(page, tag)
+                at = pairs[tag].get(m.start(), at)
             continue
         if tag in INLINE:
             if tag == "br":
