@@ -55,11 +55,18 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_main_text(table(spark, sf_dir, "pages"), html_extraction.train())
 
 
+#: Words from which op8 takes a run of repeated units for a passage: one of 50 words loses up to a unit's length at either end.
+PASSAGE = 30
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each removed passage: whose it is, where, how many words, and the document that keeps it."""
-    found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
-    spans = found.select("doc_id", F.explode("spans").alias("s"))
-    return spans.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.words").cast("long").alias("n_words"), F.col("s.keeper").alias("kept_doc_id"))
+    """A row for each removed passage: whose it is, where, how many words, and the document that keeps its beginning.
+
+    A passage is a run of PASSAGE words or more. Shorter runs (licence lines, greetings, two or three frequent words) stay here,
+    as they stand in nearly every document; the operator itself removes them unless min_words says otherwise.
+    """
+    spans = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), min_words=PASSAGE)
+    return spans.select("doc_id", "start", "end", F.col("words").alias("n_words"), F.col("keeper").alias("kept_doc_id"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

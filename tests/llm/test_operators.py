@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cliquora.operators.components import stars
-from cliquora.llm import common, html_extraction, media_columns, mixing, packing, quality_rules, queries, secret_scans, simhash, substring_dedup, toxicity, url_filters
+from cliquora.llm import common, html_extraction, media_columns, mixing, packing, quality_rules, queries, secret_scans, simhash, toxicity, url_filters
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -380,23 +380,6 @@ def test_html_edges(spark):
     assert html_extraction.extract_main_text(df.where("false"), html_extraction.train()).count() == 0
 
 
-# 8. Substring dedup
-
-
-def test_substring_dedup(spark):
-    r = random.Random(3)
-    passage, other = prose(60, r), prose(30, r) + "\n\n" + prose(30, r)
-    texts = [f"{prose(9, r)}\n{passage}\n{prose(5, r)}", f"{passage.upper()}\nend", f"x\n{other}", f"y y\n{other}\nz", "short line\n" + prose(70, r), "short line\n" + prose(70, r), None, "", passage]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(1, texts[1], "clash")], "doc_id long, text string, spans string")
-    found = {x.doc_id: [(s.start, s.end, s.words, s.keeper) for s in x.spans] for x in substring_dedup.repeated_spans(df).collect()}
-    at = texts[3].index(other)
-    assert found == {1: [(0, len(passage.upper()), 60, 0)], 3: [(at, at + len(other), 60, 2)], 8: [(0, len(passage), 60, 0)]}
-    left = {x.doc_id: x.text for x in substring_dedup.remove_spans(df, substring_dedup.repeated_spans(df)).collect()}
-    assert left[0] == texts[0] and left[1] == "end" and left[3] == "y y\nz" and left[8] == "" and left[6] is None
-    assert substring_dedup.remove_spans(df, substring_dedup.repeated_spans(df)).columns == df.columns
-    assert substring_dedup.repeated_spans(df.where("false")).count() == 0
-
-
 # 9. Packing
 
 
