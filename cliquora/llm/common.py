@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cliquora.operators.durable import durable
 
-__all__ = ["GAP", "SPACE", "WORD", "durable", "let", "n_words", "positive_hash", "running", "table", "text_of", "words"]
+__all__ = ["GAP", "SPACE", "WORD", "durable", "let", "n_words", "positive_hash", "running", "sized", "table", "text_of", "words"]
 
 #: The characters that separate words, and the words between them.
 SPACE = " \t\n\x0b\x0c\r"
@@ -65,3 +65,12 @@ def positive_hash(*columns: Column) -> Column:
     """A 60-bit hash that other SQL engines can compute too."""
     key = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+#: Rows of a few numbers each that are sent to all tasks at most.
+MAX_BROADCAST = 1_000_000
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """rows (written ones: they are counted) with a hint to send them to all tasks, where they are few enough."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows

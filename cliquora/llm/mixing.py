@@ -11,13 +11,16 @@
    shuffle, and a row finds its source's threshold in a broadcast table while there are at most MAX_BROADCAST sources, else
    in a join that Spark splits where it is skewed.
 
-Null texts have size 0. The null source is a source like others, the last in order. Rows with equal ids share one fate.
-Sources without words have target 0. An empty table gives no rows.
+Null texts have size 0. The null source is a source like others, the last in order. Rows with equal keys (ids; a null id is one)
+share one hash and so one fate: a source misses its target by half of the words of the rows of one key at most, which is half a
+document where ids are unique. The windows over sources (ranks, the water level) have one row a source and run in one task: that
+is meant for up to some millions of sources. A very long text is one size. Columns with clashing names are neither read nor lost:
+keys and rows travel in a struct. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,9 +60,8 @@ def beside(rows: DataFrame, small: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(small) if few else small, F.col("source").eqNullSafe(F.col("source_")), "inner").drop("source_")
 
 
-def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, keys=("doc_id",)) -> DataFrame:
-    """The keys, size, source_size, target, copies (long: times the row is taken whole), taken (long)."""
-    slim = durable(documents.select(*keys, "source", n_words("text").alias("size"), positive_hash(*[F.col(k) for k in keys]).alias("hash_")))
+def plan_of(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> tuple[DataFrame, bool]:
+    """Of rows (source, size, hash_) the plan: source_, source_size, target, whole (copies of every row), last (the greatest hash that has one more); and whether its rows are few."""
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sums, weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -83,10 +85,31 @@ def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
         if state.isEmpty():
             break
     plan = plan.join(ends.withColumnRenamed("source_", "s_"), F.col("source_").eqNullSafe(F.col("s_")), "left")
-    plan = plan.select("source_", "source_size", "target", "whole", F.coalesce("last", F.lit(-1).cast("long")).alias("last"))
-    copies = F.col("whole") + F.when(F.col("hash_") <= F.col("last"), 1).otherwise(0)
+    return plan.select("source_", "source_size", "target", "whole", F.coalesce("last", F.lit(-1).cast("long")).alias("last")), few
+
+
+def copies_of() -> Column:
+    """How often a row beside its source's plan is taken whole."""
+    return F.col("whole") + F.when(F.col("hash_") <= F.col("last"), 1).otherwise(0)
+
+
+def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, keys=("doc_id",)) -> DataFrame:
+    """The keys, size, source_size, target, copies (long: times the row is taken whole), taken (long)."""
+    slim = durable(documents.select(F.struct(*keys).alias("keys_"), "source", n_words("text").alias("size"), positive_hash(*[F.col(k) for k in keys]).alias("hash_")))
+    plan, few = plan_of(slim, weights, share, cap)
     out = beside(slim, plan, few)
-    return out.select(*keys, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("keys_.*", "size", "source_size", "target", copies_of().alias("copies"), (copies_of() * F.col("size")).alias("taken"))
+
+
+def take(documents: DataFrame, by: list[Column], weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The rows of documents, each as often as the mix takes it; rows that are equal in all columns of `by` share one fate.
+
+    The thresholds are applied to the rows as they are read: the texts are not shuffled, unless there are very many sources.
+    """
+    slim = durable(documents.select("source", n_words("text").alias("size"), positive_hash(*by).alias("hash_")))
+    plan, few = plan_of(slim, weights, share, cap)
+    rows = beside(documents.select(F.struct("*").alias("row_"), "source", positive_hash(*by).alias("hash_")), plan, few)
+    return rows.where(copies_of() > 0).select("row_", F.explode(F.sequence(F.lit(1).cast("long"), copies_of())).alias("copy_")).select("row_.*")
 
 
 ORACLE = r"""
