@@ -7,9 +7,9 @@ born with their lightest edge), and the links are the (q+2)-cliques, each joinin
 maximal cliques: within a clique any two (q+1)-subsets are joined by swapping one vertex at a time. Cliques come from joins, links
 are thinned to a spanning forest in each task, and a level of a graph is one group: it sweeps its thresholds once.
 
-`dense` (no max_q: all levels): the number of cliques would explode, so each pair of thresholds that follow one another is a
-task of its own. It finds the maximal cliques of both graphs and which component goes into which; the births then run along
-the chain of each level.
+`dense` (no max_q: all levels): the number of cliques would explode, so only maximal ones are held. A graph is one task, as each
+threshold's cliques follow from those before; graphs run in parallel. Weights rise once: an edge's new maximal cliques are searched
+among the common neighbours of its ends, compared with those that there are (numpy, on bit sets), and join their communities.
 
 Edges are cleaned first (finite, no loops, the lightest of duplicates); equal weights are one step. A community's members are the
 union of its cliques' vertices. When communities merge, the one born first lives on, then the larger, then the one of smaller
@@ -20,12 +20,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cliquora.operators.cliques import k_cliques, search
+from cliquora.operators.cliques import k_cliques
 from cliquora.operators.components import Union
 from cliquora.operators.durable import durable
 from cliquora.sources.matrices import clean_edges, edges_of_distances, edges_of_rows
@@ -107,86 +107,187 @@ def capped(edges: DataFrame, max_q: int) -> DataFrame:
     return rows.groupBy("complex_id", "q").applyInPandas(run, f"complex_id {kind}, q int, birth double, death double, members array<bigint>")
 
 
-def cliques_of(edges: list[tuple[int, int]]) -> list[list[int]]:
-    near: dict[int, set[int]] = {}
-    for u, v in edges:
-        near.setdefault(u, set()).add(v)
-        near.setdefault(v, set()).add(u)
-    return [c for v in near for c in search({n: near[n] & near[v] for n in near[v]}, v)]
-
-
-def levels_of(cliques: list[list[int]]) -> list[list[list[int]]]:
-    """Of each q the components, as lists of clique numbers."""
-    shared: dict[tuple[int, int], int] = {}
-    having: dict[int, list[int]] = {}
-    for i, c in enumerate(cliques):
-        for v in c:
-            for j in having.get(v, ()):
-                shared[j, i] = shared.get((j, i), 0) + 1
-            having.setdefault(v, []).append(i)
-    links = sorted(((n, i, j) for (i, j), n in shared.items()), reverse=True)
-    out, sets, at = [], Union(), 0
-    for q in range(max(map(len, cliques)) - 1, -1, -1):
-        while at < len(links) and links[at][0] > q:
-            sets.join(*links[at][1:])
-            at += 1
-        groups: dict[int, list[int]] = {}
-        for i, c in enumerate(cliques):
-            if len(c) > q:
-                groups.setdefault(sets.root(i), []).append(i)
-        out.append(list(groups.values()))
-    return out[::-1]
+def packed(sets: list[int], words: int) -> np.ndarray:
+    """Sets of vertices, given as bits of an integer, as rows of 64-bit words."""
+    return np.frombuffer(b"".join(x.to_bytes(8 * words, "little") for x in sets), np.uint64).reshape(-1, words)
+
+
+def bits(x: int) -> list[int]:
+    out = []
+    while x:
+        low = x & -x
+        out.append(low.bit_length() - 1)
+        x ^= low
+    return out
+
+
+def around(near: list[int], u: int, v: int) -> list[int]:
+    """The maximal cliques that have the edge u-v, as bits. near: each vertex's neighbours, as bits."""
+    found = []
+    stack = [(1 << u | 1 << v, near[u] & near[v], 0)]
+    while stack:
+        clique, candidates, done = stack.pop()
+        if not candidates:
+            if not done:
+                found.append(clique)
+            continue
+        # branch on what the pivot, the vertex with the most candidates among its neighbours, is not linked with
+        best, skip = -1, 0
+        rest = candidates | done
+        while rest:
+            low = rest & -rest
+            rest ^= low
+            own = near[low.bit_length() - 1]
+            n = (own & candidates).bit_count()
+            if n > best:
+                best, skip = n, own
+        rest = candidates & ~skip
+        while rest:
+            low = rest & -rest
+            rest ^= low
+            own = near[low.bit_length() - 1]
+            stack.append((clique | low, candidates & own, done & own))
+            candidates ^= low
+            done |= low
+    return found
+
+
+def grouped(meets: np.ndarray, homes: np.ndarray, n_old: int) -> np.ndarray:
+    """The group of each node: n_old communities, then the new cliques (one row of meets each). homes: the node of each column.
+
+    Least labels run from rows to columns and back until none changes.
+    """
+    n_new = len(meets)
+    group = np.arange(n_old + n_new, dtype=np.int32)
+    far = np.int32(n_old + n_new)
+    while True:
+        least = np.minimum(np.where(meets, group[homes], far).min(axis=1, initial=far), group[n_old:])
+        down = np.where(meets, least[:, None], far).min(axis=0, initial=far)
+        after = group.copy()
+        after[n_old:] = least
+        np.minimum.at(after, homes, down)
+        if (after == group).all():
+            return group
+        group = after
+
+
+class Sweep:
+    """The maximal cliques of one growing graph, and their communities at every level.
+
+    An edge only makes cliques that have both its ends, and only ends cliques that one end can join. An ended clique is part of a
+    new one, so that its community goes on there; nothing else has to be looked at.
+    """
+
+    def __init__(self, n: int):
+        self.words = max(1, -(-n // 64))
+        self.near = [0] * n
+        self.alive: list[int] = []
+        self.rows = np.empty((0, self.words), np.uint64)
+        self.homes = np.empty((0, 0), np.int64)  # of each clique and level the community's number, -1 above its dimension
+        self.communities: list[dict[int, tuple[float, int]]] = []  # at each level: number -> birth, members
+        self.next = 0
+        self.out: list[tuple[int, float, float, list[int]]] = []
+
+    def step(self, t: float, edges: list[tuple[int, int]]) -> None:
+        near, born, ended = self.near, [], set()
+        for u, v in edges:
+            one, two = 1 << u, 1 << v
+            # a clique with u that lies within v's surroundings grows by v, and the other way round
+            within = ((one, near[v]), (two, near[u]))
+            near[u] |= two
+            near[v] |= one
+            fresh = around(near, u, v)
+            ended |= {c for c in born if any(c & end and not c & ~(end | own) for end, own in within)}
+            born += fresh
+            for end, own in within:
+                e, o = packed([end], self.words)[0], packed([end | own], self.words)[0]
+                hit = ((self.rows & e).any(axis=1)) & ~((self.rows & ~o).any(axis=1))
+                ended |= {self.alive[i] for i in np.flatnonzero(hit).tolist()}
+        if not born:
+            return
+        rows = packed(born, self.words)
+        sizes = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+        every = np.concatenate([self.rows, rows])
+        shared = np.zeros((len(born), len(every)), np.int16)
+        for w in range(self.words):
+            shared += np.bitwise_count(rows[:, w, None] & every[None, :, w]).astype(np.int16)
+        levels = max(self.homes.shape[1], int(sizes.max()))
+        homes = np.full((len(every), levels), -1, np.int64)
+        homes[: len(self.rows), : self.homes.shape[1]] = self.homes
+        while len(self.communities) < levels:
+            self.communities.append({})
+        n_before = len(self.rows)
+        for q in range(int(sizes.max())):
+            own = np.flatnonzero(sizes > q)
+            meets = shared[own] > q
+            old = np.flatnonzero(meets[:, :n_before].any(axis=0))
+            numbers, at = np.unique(homes[old, q], return_inverse=True)
+            columns = np.concatenate([old, n_before + own])
+            nodes = np.concatenate([at, len(numbers) + np.arange(len(own))]).astype(np.int32)
+            group = grouped(meets[:, columns], nodes, len(numbers))
+            self.merge(q, t, group, numbers, own, born, homes, n_before)
+        keep = np.array([c not in ended for c in [*self.alive, *born]], bool)
+        self.alive = [c for c, k in zip([*self.alive, *born], keep.tolist(), strict=True) if k]
+        self.rows, self.homes = every[keep], homes[keep]
+
+    def merge(self, q: int, t: float, group, numbers, own, born, homes, n_before: int) -> None:
+        """Communities of one group become one, under the elder's birth."""
+        found, alike = self.communities[q], {}
+        for i, g in enumerate(group.tolist()):
+            alike.setdefault(g, ([], []))[i >= len(numbers)].append(i)
+        for old, new in alike.values():
+            fresh = [own[i - len(numbers)] for i in new]
+            if not fresh:
+                continue
+            members = 0
+            for i in fresh:
+                members |= born[i]
+            if old:
+                parts = [(int(numbers[i]), *found.pop(int(numbers[i]))) for i in old]
+                if len(parts) > 1:
+                    ranked = [(birth, bits(m)) for _, birth, m in parts]
+                    first = elder(ranked)
+                    self.out += [(q, birth, t, m) for i, (birth, m) in enumerate(ranked) if i != first]
+                else:
+                    first = 0
+                number, birth = parts[first][:2]
+                for _, _, m in parts:
+                    members |= m
+                gone = [p[0] for i, p in enumerate(parts) if i != first]
+                if gone:
+                    column = homes[:n_before, q]
+                    column[np.isin(column, gone)] = number
+            else:
+                number, birth = self.next, t
+                self.next += 1
+            found[number] = birth, members
+            homes[[n_before + i for i in fresh], q] = number
+
+    def intervals(self) -> list[tuple[int, float, float, list[int]]]:
+        return self.out + [(q, birth, INF, bits(m)) for q, own in enumerate(self.communities) for birth, m in own.values()]
+
+
+def swept(edges: list[tuple[int, int, float]]) -> list[tuple[int, float, float, list[int]]]:
+    """(q, birth, death, members) of one graph's weighted edges, at all levels."""
+    names = sorted({x for u, v, _ in edges for x in (u, v)})
+    place = {x: i for i, x in enumerate(names)}
+    steps: dict[float, list[tuple[int, int]]] = {}
+    for u, v, w in edges:
+        steps.setdefault(w, []).append((place[u], place[v]))
+    sweep = Sweep(len(names))
+    for t in sorted(steps):
+        sweep.step(t, steps[t])
+    return [(q, birth, death, [names[i] for i in members]) for q, birth, death, members in sweep.intervals()]
 
 
 def dense(edges: DataFrame) -> DataFrame:
     kind = edges.schema["complex_id"].dataType.simpleString()
-    steps = edges.select("complex_id", F.col("w").alias("t")).distinct()
-    steps = steps.withColumn("next", F.lead("t").over(W.partitionBy("complex_id").orderBy("t")))
-    # each task has the edges up to the later of its two thresholds
-    tasks = steps.join(edges, "complex_id").where(F.col("w") <= F.coalesce("next", "t"))
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, after = pdf["t"].iloc[0], pdf["next"].iloc[0]
-        rows = list(zip(pdf["u"].astype(int), pdf["v"].astype(int), pdf["w"], strict=True))
-        now = cliques_of([(u, v) for u, v, w in rows if w <= t])
-        later = cliques_of([(u, v) for u, v, _ in rows]) if pd.notna(after) else []
-        into = levels_of(later) if later else []
-        sets = [set(c) for c in later]
-        out = []
-        for q, groups in enumerate(levels_of(now)):
-            home = {i: g for g, own in enumerate(into[q]) for i in own} if later else {}
-            # of new communities the least clique's members name it: both tasks that see a graph number it alike
-            name = lambda cliques, own: min(cliques[i] for i in own)
-            for own in groups:
-                goes = None
-                if later:
-                    witness = set(now[own[0]][: q + 1])
-                    goes = name(later, into[q][home[next(i for i in home if witness <= sets[i])]])
-                out.append((pdf["complex_id"].iloc[0], q, t, after, name(now, own), goes, sorted({v for i in own for v in now[i]})))
-        return pd.DataFrame(out, columns=["complex_id", "q", "t", "next", "name", "goes", "members"])
-
-    schema = f"complex_id {kind}, q int, t double, next double, name array<bigint>, goes array<bigint>, members array<bigint>"
-    found = tasks.groupBy("complex_id", "t").applyInPandas(step, schema)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, births = [], {}
-        for t, rows in sorted(pdf.groupby("t")):
-            arriving: dict[tuple, list[tuple[float, list[int]]]] = {}
-            after = rows["next"].iloc[0]
-            for name, goes, members in zip(rows["name"], rows["goes"], rows["members"], strict=True):
-                own = (births.get(tuple(name), t), [int(v) for v in members])
-                if goes is None or pd.isna(after):
-                    out.append((own[0], INF, own[1]))
-                else:
-                    arriving.setdefault(tuple(goes), []).append(own)
-            births = {}
-            for goes, own in arriving.items():
-                first = elder(own)
-                births[goes] = own[first][0]
-                out += [(b, after, m) for i, (b, m) in enumerate(own) if i != first]
-        return pd.DataFrame({"complex_id": pdf["complex_id"].iloc[0], "q": pdf["q"].iloc[0], "birth": [r[0] for r in out], "death": [r[1] for r in out], "members": pd.Series([r[2] for r in out], dtype=object)})
-
-    return found.groupBy("complex_id", "q").applyInPandas(chain, f"complex_id {kind}, q int, birth double, death double, members array<bigint>")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = swept(list(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["w"].tolist(), strict=True)))
+        return pd.DataFrame({"complex_id": pdf["complex_id"].iloc[0], "q": [r[0] for r in found], "birth": [r[1] for r in found], "death": [r[2] for r in found], "members": pd.Series([r[3] for r in found], dtype=object)})
+
+    return edges.groupBy("complex_id").applyInPandas(run, f"complex_id {kind}, q int, birth double, death double, members array<bigint>")
 
 
 def persistent_communities(edges: DataFrame, max_q: int | None = None, digits: int | None = None) -> DataFrame:
