@@ -447,13 +447,13 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def plain_components(fps):
+def plain_components(fps, most=2):
     least = {k: k for k in fps}
     changed = True
     while changed:
         changed = False
         for a, b in itertools.combinations(fps, 2):
-            if (fps[a] ^ fps[b]).bit_count() <= 2 and least[a] != least[b]:
+            if (fps[a] ^ fps[b]).bit_count() <= most and least[a] != least[b]:
                 least[a] = least[b] = min(least[a], least[b])
                 changed = True
     return least
@@ -473,19 +473,35 @@ def test_simhash(spark, documents, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("cell", [512, 3])
-def test_simhash_links(spark, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "most"), [(512, 2), (3, 2), (2, 0), (512, 3), (4, 3), (4, 4), (64, 1), (2, 1)])
+def test_simhash_links(spark, cell, most):
     r = random.Random(9)
     fps = [r.getrandbits(64) for _ in range(40)]
     for _ in range(200):
-        fps.append(r.choice(fps) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
+        own = r.choice(fps)
+        for _ in range(r.randint(1, max(1, most))):
+            own ^= 1 << r.randrange(64)
+        fps.append(own)
     fps = sorted(set(fps))
     signed = [int(np.uint64(f).view(np.int64)) for f in fps]
-    found = stars(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), cell=cell))
-    root = {x.node: x.root for x in found.collect()}
-    want = plain_components(dict(zip(signed, fps, strict=True)))
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), most, cell)
+    root = {x.node: x.root for x in stars(found).collect()}
+    want = plain_components(dict(zip(signed, fps, strict=True)), most)
     groups = lambda of: sorted(sorted(g) for g in {k: [x for x in signed if of(x) == k] for k in map(of, signed)}.values())
     assert groups(lambda x: root.get(x, x)) == groups(lambda x: want[x])
+    assert all((x.a ^ x.b).bit_count() <= most or (x.a < 0) != (x.b < 0) for x in found.collect())
+
+
+def test_simhash_discards_by_the_table(spark):
+    r = random.Random(10)
+    fps = [r.getrandbits(63) for _ in range(60)]
+    table = simhash.with_table(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    edges = [64 * i // simhash.BLOCKS for i in range(simhash.BLOCKS + 1)]
+    for x in table.collect():
+        assert [x.near_ >> 4 * i & 15 for i in range(simhash.BLOCKS)] == [((x.fp >> a) & ((1 << (b - a)) - 1)).bit_count() for a, b in itertools.pairwise(edges)]
+        assert [x.far_ >> 8 * i & 255 for i in range(simhash.PIVOTS)] == [((x.fp ^ p) & (1 << 64) - 1).bit_count() for p in simhash.pivots()]
+    with pytest.raises(ValueError, match="four bits"):
+        simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 5, 1).count()
 
 
 def test_components_of_chains(spark):
