@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliquora.llm import html_extraction, media_columns, mixing, packing, quality_rules, secret_scans, simhash, substring_dedup, toxicity, url_filters
-from cliquora.llm.common import table
+from cliquora.llm.common import durable, table
 
 
 def vocabulary() -> str:
@@ -47,8 +47,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in url_filters.LISTED])).alias("key"))
-    return url_filters.filter_urls(table(spark, sf_dir, "pages"), listed)
+    """The list is drawn from the table itself: every domain whose own label has a hyphen."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.filter_urls(pages, durable(url_filters.hyphenated(pages)))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ level 2 one of the unlisted keys of the universe that pass level 1; level 3 one
 on until nothing passes wrongly. Of the universe, a key is listed if and only if the first level that it fails is an even one,
 or the cascade ends after an odd one: exact membership with a few bits a key and no join over the corpus.
 
-Filters are arrays of 64-bit words in the plan. A list of more than MAX_LISTED keys would make them large; then the pages are
-joined with the list instead, which gives the same verdicts.
+Filters are arrays of 64-bit words in the plan: a level has BITS_A_KEY bits a key. MAX_LISTED is the proven bound on what is sent to
+all tasks (1 MB for level 1); a longer list is joined with the distinct hosts instead, which gives the same verdicts by another way.
 
 Null urls and urls without :// have an empty host and path, and no key: no rule fits, and the verdict is allow. Equal urls get
 equal verdicts. Other columns pass through untouched only where the caller keeps them. An empty table gives no rows.
@@ -29,10 +29,6 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: The listed domains of the production filter.
-LISTED = ("ads-track.example.com", "free-bets.example.net", "cheap-pills.example.net", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com",
-          "ads-track.example.net", "ads-track.example.org", "free-bets.example.com", "free-bets.example.org", "cheap-pills.example.com", "cheap-pills.example.org",
-          "spam-farm.example.com", "spam-farm.example.net", "casino-win.example.com", "casino-win.example.org", "adult-x.example.net", "adult-x.example.org")
 BITS_A_KEY, PROBES, MAX_LISTED, MAX_LEVELS = 8, 4, 1_000_000, 40
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -93,6 +89,12 @@ class Cascade:
         """universe, listed: a column `key` each."""
         inside = universe.join(F.broadcast(listed.distinct()), "key", "left_semi").distinct().persist()
         self.levels: list[Filter] = []
+        try:
+            self.build(universe, inside)
+        finally:
+            inside.unpersist()
+
+    def build(self, universe: DataFrame, inside: DataFrame) -> None:
         n = inside.count()
         if n == 0:
             return
@@ -100,17 +102,17 @@ class Cascade:
         # what passes level 1 wrongly is few: all further levels work on it and on the list
         outside = universe.where(self.levels[0].passes(F.col("key"))).distinct().join(F.broadcast(inside), "key", "left_anti").persist()
         sides = [outside, inside]
-        for level in range(2, MAX_LEVELS):
-            wrong = sides[level % 2].where(self.levels[-1].passes(F.col("key"))) if level > 2 else outside
-            n = wrong.count()
-            if n == 0:
-                break
-            self.levels.append(Filter(wrong, n, level))
-            sides[level % 2] = wrong
-        else:
-            raise ValueError("the cascade does not end")
-        inside.unpersist()
-        outside.unpersist()
+        try:
+            for level in range(2, MAX_LEVELS):
+                wrong = sides[level % 2].where(self.levels[-1].passes(F.col("key"))) if level > 2 else outside
+                n = wrong.count()
+                if n == 0:
+                    return
+                self.levels.append(Filter(wrong, n, level))
+                sides[level % 2] = wrong
+        finally:
+            outside.unpersist()
+        raise ValueError("the cascade does not end")
 
     def has(self, key: Column) -> Column:
         """Walks the levels: failing an even level, or none of an odd number, means listed."""
@@ -120,6 +122,13 @@ class Cascade:
         return out
 
 
+def hyphenated(pages: DataFrame) -> DataFrame:
+    """A list of keys drawn from the corpus by a rule: every host and parent domain whose own (first) label has a hyphen."""
+    host, _ = host_and_path(F.col("url"))
+    keys = pages.select(host.alias("host")).distinct().select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
+    return keys.where(F.substring_index("key", ".", 1).contains("-"))
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, keys=("page_id",), rules=RULES) -> DataFrame:
     """The keys, host, path, rule, verdict (allow or block), listed (boolean: the host or a parent of it is listed)."""
     host, path = host_and_path(F.col("url"))
@@ -153,7 +162,7 @@ ruled as (
          when (host = 'net' or host like '%.net') and starts_with(path, '/es/') then 'net/es/'
          when (host = 'net' or host like '%.net') and starts_with(path, '/fr/') then 'net/fr/'
          when (host = 'com' or host like '%.com') and starts_with(path, '/') then 'com/' end as rule,
-    regexp_matches(host, '(^|\.)(ads-track|free-bets|cheap-pills|spam-farm|casino-win|adult-x)\.example\.(com|net|org)$') as listed
+    contains(host, '-') as listed
   from parts)
 select page_id, host, path, rule,
   case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' when listed then 'block' else 'allow' end as verdict, listed
