@@ -9,8 +9,10 @@ it is right there in LEAST_ACCURACY of the rows it covers; covered rows leave, a
 ordered CASE expression: the first rule that holds rejects a text, and a text that no rule covers is kept.
 
 Null texts have no words. Empty and null texts fail the base rule. Null ratios don't occur (denominators are at least 1).
-Without usable labels the list is empty. Repeated rows are judged alike. An empty table gives no rows. Internal columns start
-with `q_`; columns of the input with such names are not disturbed because only the key and the text are read.
+Without usable labels the list is empty. Repeated rows are judged alike; of labelled rows with one id the least is fitted on, and
+of conditions with equal gains the first. A very long text is one row's arrays (its words' hashes and windows, sorted within the
+text), some thirty bytes a word. An empty table gives no rows. Internal columns start with `q_`; columns of the input with such
+names are not disturbed because only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ CUTS, MAX_CONDITIONS, MAX_RULES, LEAST_COVER, LEAST_ACCURACY = 24, 3, 12, 8, 0.9
 FEATURES = ("f_symbols", "f_word_length", "f_dup_lines", "f_repeats", "f_upper", "f_exclaim", "f_distinct", "f_line_words", "f_digits", "f_words")
 
 
-def statistics(rows: DataFrame, keys: list[str], text: str, learned: bool = True) -> DataFrame:
-    """The keys, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and, if learned, FEATURES of every row."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def statistics(rows: DataFrame, keys: list[str], text: str, features=FEATURES, counts=COUNTS) -> DataFrame:
+    """The keys and the named ones of COUNTS and FEATURES of every row; no others are computed."""
     t = rows.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("q_text"))
     t = t.withColumns({"q_words": words(F.col("q_text")), "q_lines": F.filter(F.split("q_text", "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")})
     t = t.withColumns({
@@ -53,13 +58,10 @@ def statistics(rows: DataFrame, keys: list[str], text: str, learned: bool = True
     t = t.withColumn("q_at", F.when(F.col("q_sorted").isNotNull(), at))
     covered = F.transform("q_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("q_at", i + 1) - p, F.lit(WINDOW))))
     t = t.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    if not learned:
-        return beyond(t, keys, [F.col(c) for c in counts])
     per_word = lambda c: c / F.greatest(F.col("n_words"), F.lit(1))
     n_lines = F.greatest(F.size("q_lines"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
-    return beyond(t, keys, [F.col(c) for c in counts] + [c.cast("double").alias(n) for n, c in zip(FEATURES, (
+    of = dict(zip(FEATURES, (
         per_word(F.col("n_symbols")),
         per_word(F.col("word_chars")),
         F.col("n_dup_lines") / n_lines,
@@ -70,7 +72,8 @@ def statistics(rows: DataFrame, keys: list[str], text: str, learned: bool = True
         F.col("n_words") / n_lines,
         F.length(F.regexp_replace("q_text", r"[^0-9]+", "")) / chars,
         F.log1p(F.col("n_words")),
-    ), strict=True)])
+    ), strict=True))
+    return beyond(t, keys, [F.col(c) for c in counts] + [of[n].cast("double").alias(n) for n in features])
 
 
 def beyond(t: DataFrame, keys: list[str], columns: list[Column]) -> DataFrame:
@@ -189,15 +192,16 @@ def decision(rules: list[Rule]) -> tuple[Column, Column]:
     return kept, by
 
 
-def apply_rules(documents: DataFrame, rules: list[Rule], keys=("doc_id",), text: str = "text") -> DataFrame:
-    """The keys, the counts, base_failed, kept, rule."""
+def apply_rules(documents: DataFrame, rules: list[Rule], keys=("doc_id",), text: str = "text", counts=COUNTS) -> DataFrame:
+    """The keys, the counts (n_words and n_repeat_words are needed), base_failed, kept, rule. Of the features only what the rules name is computed."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept, by = decision(rules)
-    stats = statistics(documents, list(keys), text).withColumns({"base_failed": failed, "q_kept": kept, "rule": by})
-    return stats.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("q_kept")).alias("kept"), "rule")
+    named = [f for f in FEATURES if any(c.feature == f for rule in rules for c in rule.conditions)]
+    stats = statistics(documents, list(keys), text, named, counts).withColumns({"base_failed": failed, "q_kept": kept, "rule": by})
+    return stats.select(*keys, *counts, "base_failed", (~F.col("base_failed") & F.col("q_kept")).alias("kept"), "rule")
 
 
 def keep_good(documents: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of documents that are kept, with the columns they have (one struct carries them past the statistics)."""
-    judged = apply_rules(documents.select(F.struct("*").alias("q_row"), F.col(text).alias("q_input")), rules, ["q_row"], "q_input")
+    judged = apply_rules(documents.select(F.struct("*").alias("q_row"), F.col(text).alias("q_input")), rules, ["q_row"], "q_input", ("n_words", "n_repeat_words"))
     return judged.where("kept").select("q_row.*")
