@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df in the folder of spark.checkpoint.dir, which all executors share; only where that is unset a temporary one is made."""
+    """df in the folder of spark.checkpoint.dir, which all executors share.
+
+    Only on one machine (a local master) a temporary folder is made where that is unset; on a cluster no executor could read
+    another one's, so that it is an error there. spark.cleaner.referenceTracking.cleanCheckpoints removes what is no longer used.
+    """
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cliquora-"))
     return df.checkpoint(eager=True)
