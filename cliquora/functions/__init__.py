@@ -50,6 +50,15 @@ def faces(members: Column) -> Column:
     return F.when(F.size(members) > 1, F.transform(F.sequence(F.lit(1), F.size(members)), drop)).otherwise(F.array().cast("array<array<bigint>>"))
 
 
+def subsets(members: Column, k: int) -> Column:
+    """All subsets of k members; none for k below 1 or above the size."""
+    if k < 1:
+        return F.array().cast("array<array<bigint>>")
+    start = F.array(F.array().cast("array<bigint>"))
+    grown = F.aggregate(members, start, lambda acc, x: F.concat(acc, F.transform(F.filter(acc, lambda s: F.size(s) < k), lambda s: F.array_append(s, x))))
+    return F.filter(grown, lambda s: F.size(s) == k)
+
+
 def is_vertex_id(x: Column) -> Column:
     """A whole number from 0 to the largest unsigned 32-bit one."""
     return (x == F.floor(x)) & x.between(0, 4294967295)

@@ -6,9 +6,11 @@ from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cliquora.model import SimplicialComplex
 from cliquora.operators import components, ensemble, vectors
+from cliquora.sources import matrices
 
 
 class _Step(Transformer):
@@ -36,12 +38,27 @@ class _Step(Transformer):
 
 
 class GradedParameters(_Step):
-    """Edges (complex_id, u, v) to vectors of equal length; flatten makes one array a graph."""
+    """Graphs to vectors of equal length; flatten makes one array a graph.
 
-    DEFAULTS = {"metrics": None, "max_order": None, "fill_value": None, "flatten": False}
+    The dataset is either adjacency rows (complex_id, i, row ARRAY), whose every row is a vertex, or edges (complex_id, u, v). An
+    edge table has no isolated vertices: n_vertices says that each graph has the vertices below it, or vertices is a DataFrame
+    (complex_id, vertex). A row whose ends are null stands for a graph without edges.
+    """
+
+    DEFAULTS = {"metrics": None, "max_order": None, "fill_value": None, "flatten": False, "n_vertices": None, "vertices": None}
+
+    def complexes(self, dataset: DataFrame) -> SimplicialComplex:
+        if "row" in dataset.columns:
+            return SimplicialComplex.from_adjacency(dataset)
+        edges, sites, n = matrices.edges_of_pairs(dataset), self.get("vertices"), self.get("n_vertices")
+        if n is not None:
+            every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")) if n > 0 else F.array().cast("array<bigint>")
+            own = matrices.keyed(dataset).select("complex_id").distinct().select("complex_id", F.explode(every).alias("vertex"))
+            sites = own if sites is None else sites.select("complex_id", "vertex").unionByName(own)
+        return SimplicialComplex.from_graph(edges, sites)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        found = vectors.graded(SimplicialComplex.from_graph(dataset), self.get("metrics"))
+        found = vectors.graded(self.complexes(dataset), self.get("metrics"))
         found = vectors.padded(found, self.get("max_order"), self.get("fill_value"))
         return vectors.flattened(found) if self.get("flatten") else found
 

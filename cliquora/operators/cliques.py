@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from cliquora.operators.durable import durable
 
-MOST_LEVELS = 64
-
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(complex_id, v, n): every edge from either end."""
@@ -65,9 +63,26 @@ def maximal_cliques(edges: DataFrame, vertices: DataFrame | None = None) -> Data
     return out
 
 
-def numbered(cliques: DataFrame) -> DataFrame:
-    """(complex_id, sid, members): positions in the order of the members, from 0 in each complex."""
-    return cliques.withColumn("sid", (F.row_number().over(W.partitionBy("complex_id").orderBy("members")) - 1).cast("long")).select("complex_id", "sid", "members")
+#: Cliques of one graph that are ranked in one task.
+RANKED = 1_000_000
+
+
+def numbered(cliques: DataFrame, ranked: int = RANKED) -> DataFrame:
+    """(complex_id, sid, members): positions in the order of the members, from 0 in each complex.
+
+    A graph of more than `ranked` cliques is ranked in two steps: the cliques are dealt to tasks by ranges of members, and each task
+    goes on counting where those before it end.
+    """
+    cliques = durable(cliques)
+    most = cliques.groupBy("complex_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= ranked:
+        return cliques.withColumn("sid", (F.row_number().over(W.partitionBy("complex_id").orderBy("members")) - 1).cast("long")).select("complex_id", "sid", "members")
+    dealt = durable(cliques.repartitionByRange("complex_id", "members").sortWithinPartitions("complex_id", "members"))
+    dealt = dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    own = dealt.groupBy("complex_id", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(W.partitionBy("complex_id").orderBy("part")) - F.col("n")
+    starts = own.select("complex_id", "part", (before - F.col("first")).alias("start"))
+    return dealt.join(starts, ["complex_id", "part"]).select("complex_id", (F.col("at") + F.col("start")).alias("sid"), "members")
 
 
 def k_cliques(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -85,7 +100,7 @@ def k_cliques(edges: DataFrame, most: int | None = None) -> DataFrame:
     near = durable(ends.join(later, ["complex_id", "x"], "left").join(earlier, ["complex_id", "x"], "left").withColumn("later", F.coalesce("later", F.array().cast("array<bigint>"))))
     level = near.select("complex_id", F.array("x").alias("members"), F.col("later").alias("common"), F.lit(None).cast("double").alias("birth"))
     out, size = level, 1
-    while size < (most or MOST_LEVELS):
+    while most is None or size < most:
         step = level.where(F.size("common") > 0).select("complex_id", "members", "common", "birth", F.explode("common").alias("x")).join(near, ["complex_id", "x"])
         own = F.array_max(F.transform("members", lambda m: F.element_at("weights", m)))
         level = durable(step.select("complex_id", F.array_append("members", F.col("x")).alias("members"), F.array_intersect("common", "later").alias("common"), F.greatest("birth", own).alias("birth")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cliquora.operators.durable import durable
 from cliquora.operators.pairs import pairs
 
-FOREST = 2_000_000
+FOREST, FAN = 500_000, 8
 ROUNDS = 60
 
 
@@ -51,19 +51,44 @@ def thinned(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[keep]
 
 
-def forest(found: DataFrame) -> DataFrame:
-    """(complex_id, i, j, shared): of pairs, at most one row less than simplices."""
+def own_forests(found: DataFrame) -> DataFrame:
+    """Of each task's pairs those that its own spanning forest needs: (complex_id, i, j, shared)."""
 
     def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        kept, waiting = None, []
         for batch in batches:
-            kept = thinned(batch if kept is None else pd.concat([kept, batch]))
+            waiting.append(batch)
+            # what is kept is sorted again only when as much has come in
+            if sum(map(len, waiting)) >= (0 if kept is None else len(kept)):
+                kept, waiting = thinned(pd.concat(waiting if kept is None else [kept, *waiting])), []
+        if waiting:
+            kept = thinned(pd.concat(waiting if kept is None else [kept, *waiting]))
         if kept is not None:
             yield kept
 
-    schema = found.select("complex_id", "i", "j", "shared").schema
     found = found.select("complex_id", "i", "j", "shared")
-    return found.mapInPandas(partly, schema).groupBy("complex_id").applyInPandas(thinned, schema)
+    return found.mapInPandas(partly, found.schema)
+
+
+def forest(found: DataFrame) -> DataFrame:
+    """(complex_id, i, j, shared): of pairs, at most one row less than simplices. A task never has more than FAN forests of a complex."""
+    schema = found.select("complex_id", "i", "j", "shared").schema
+    out = own_forests(found)
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = []
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        groups.append(tasks)
+    for n in groups:
+        part = F.pmod(F.spark_partition_id(), F.lit(n))
+        out = out.withColumn("part", part).groupBy("complex_id", "part").applyInPandas(lambda pdf: thinned(pdf.drop(columns="part")), schema)
+    return out.groupBy("complex_id").applyInPandas(thinned, schema)
+
+
+def is_large(k) -> bool:
+    """Whether a complex has too many simplices to merge its forests in one task."""
+    most = k.dims().where("dim >= 0").groupBy("complex_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > FOREST
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -90,12 +115,11 @@ def q_components(k, method: str | None = None) -> DataFrame:
     """(complex_id, q, sid, component): component is the least sid of its simplices. method: forest, stars or None (by size)."""
     dims = k.dims().where("dim >= 0")
     if method is None:
-        most = dims.groupBy("complex_id").count().agg(F.max("count")).first()[0] or 0
-        method = "forest" if most <= FOREST else "stars"
+        method = "stars" if is_large(k) else "forest"
     found = pairs(k)
     if method == "stars":
         node = lambda s: F.struct("complex_id", "q", F.col(s).alias("sid"))
-        at = found.withColumn("q", F.explode(F.sequence(F.lit(0), (F.col("shared") - 1).cast("int"))))
+        at = own_forests(found).withColumn("q", F.explode(F.sequence(F.lit(0), (F.col("shared") - 1).cast("int"))))
         roots = stars(at.select(node("i").alias("a"), node("j").alias("b"))).select("node.*", F.col("root.sid").alias("root"))
         rows = dims.select("complex_id", "sid", F.explode(F.sequence(F.lit(0), F.col("dim"))).alias("q"))
         return rows.join(roots, ["complex_id", "q", "sid"], "left").select("complex_id", "q", "sid", F.coalesce("root", "sid").alias("component"))

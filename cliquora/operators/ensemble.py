@@ -26,6 +26,16 @@ def dense_projection(k, q: int = 0, weighted: bool = False) -> DataFrame:
     return p.select("complex_id", F.col("u").alias("i"), F.col("v").alias("j"), "value").unionByName(p.select("complex_id", F.col("v").alias("i"), F.col("u").alias("j"), "value"))
 
 
+def projection_rows(k, q: int = 0, weighted: bool = False) -> DataFrame:
+    """(complex_id, i, row ARRAY): the dense matrix of each complex, all as large as the largest vertex of any asks for."""
+    n = k.incidence().agg((F.coalesce(F.max("vertex"), F.lit(-1)) + 1).alias("n")).first().n
+    cells = dense_projection(k, q, weighted).groupBy("complex_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("at"))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")) if n else F.array().cast("array<bigint>")
+    every = k.simplices.select("complex_id").distinct().select("complex_id", F.explode(places).alias("i"))
+    row = F.transform(places, lambda j: F.coalesce(F.try_element_at("at", j), F.lit(0).cast("long")))
+    return every.join(cells, ["complex_id", "i"], "left").select("complex_id", "i", row.alias("row"))
+
+
 def clique_filter(edges: DataFrame, q: int, threshold: Callable[[DataFrame], DataFrame] | Column | None = None) -> DataFrame:
     """The weighted edges that lie in a maximal clique of dimension q or more, with their weights.
 
@@ -42,7 +52,7 @@ def consensus(edges: DataFrame, samples: DataFrame, threshold: float = 0.95) ->
     samples (grp, n): how many there are, with or without edges.
     """
     n = edges.select("grp", "sample", "u", "v").distinct().groupBy("grp", "u", "v").agg(F.count("*").alias("has"))
-    return n.join(F.broadcast(samples), "grp").where(F.col("has") / F.col("n") > threshold).select("grp", "u", "v")
+    return n.join(samples, "grp").where(F.col("has") / F.col("n") > threshold).select("grp", "u", "v")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -71,7 +81,7 @@ def shuffled(samples: DataFrame, n_resamples: int, seed: int = 0) -> DataFrame:
     labels = samples.select("grp", F.row_number().over(W.orderBy("grp", "sample_id")).alias("place"))
     every = samples.select("sample_id", F.explode(F.sequence(F.lit(1), F.lit(n_resamples))).alias("resample"))
     order = W.partitionBy("resample").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col("sample_id").cast("string"))), "sample_id")
-    dealt = every.withColumn("place", F.row_number().over(order)).join(F.broadcast(labels), "place").select("resample", "sample_id", "grp")
+    dealt = every.withColumn("place", F.row_number().over(order)).join(labels, "place").select("resample", "sample_id", "grp")
     return samples.select(F.lit(0).alias("resample"), "sample_id", "grp").unionByName(dealt)
 
 

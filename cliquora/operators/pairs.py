@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cliquora.operators.durable import durable
 
-def pairs(k) -> DataFrame:
-    """(complex_id, i, j, shared): an equi-join on the vertex, combined before the shuffle; never all pairs of simplices."""
-    a = k.incidence().withColumnRenamed("sid", "i")
-    b = k.incidence().withColumnRenamed("sid", "j")
-    return a.join(b, ["complex_id", "vertex"]).where("i < j").groupBy("complex_id", "i", "j").agg(F.count("*").alias("shared"))
+
+#: Simplices of a vertex that meet in one task.
+HEAVY = 20_000
+
+
+def pairs(k, heavy: int = HEAVY) -> DataFrame:
+    """(complex_id, i, j, shared): an equi-join on the vertex, combined before the shuffle; never all pairs of simplices.
+
+    A vertex in more than `heavy` simplices is split: its simplices are dealt to blocks by a hash, and each pair of blocks is a key
+    of its own. The number of pairs is the same, but no task has all of a vertex's.
+    """
+    incidence = k.incidence()
+    degrees = durable(incidence.groupBy("complex_id", "vertex").agg(F.count("*").alias("n")).where(F.col("n") > heavy))
+    join = ["complex_id", "vertex"]
+    a, b = incidence.withColumnRenamed("sid", "i"), incidence.withColumnRenamed("sid", "j")
+    if not degrees.isEmpty():
+        blocks = degrees.select(*join, F.ceil(F.col("n") / heavy).cast("int").alias("blocks"))
+        every = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+        block = lambda s: F.pmod(F.xxhash64(s), F.coalesce("blocks", F.lit(1))).cast("int")
+        a = a.join(blocks, join, "left").select(*join, "i", block("i").alias("bi"), F.explode(every).alias("bj"))
+        b = b.join(blocks, join, "left").select(*join, "j", block("j").alias("bj"), F.explode(every).alias("bi"))
+        join = [*join, "bi", "bj"]
+    return a.join(b, join).where("i < j").groupBy("complex_id", "i", "j").agg(F.count("*").alias("shared"))
 
 
 def shared_faces(k, found: DataFrame | None = None) -> DataFrame:

@@ -22,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cliquora.operators.cliques import k_cliques
@@ -290,17 +291,56 @@ def dense(edges: DataFrame) -> DataFrame:
     return edges.groupBy("complex_id").applyInPandas(run, f"complex_id {kind}, q int, birth double, death double, members array<bigint>")
 
 
-def persistent_communities(edges: DataFrame, max_q: int | None = None, digits: int | None = None) -> DataFrame:
+def persistent_communities(edges: DataFrame, max_q: int | None = None, digits: int | None = None, statistics: Observation | None = None) -> DataFrame:
     """(complex_id, q, birth, death, size, members) of weighted edges (complex_id, u, v, w). digits: rounds the weights first.
 
-    death is infinite for communities that last.
+    death is infinite for communities that last. statistics: gets the numbers of intervals and of lasting ones, the highest q and the
+    most members, once an action has run.
     """
     if max_q is not None and max_q < 0:
         raise ValueError("max_q must not be negative")
     own = edges if digits is None else edges.withColumn("w", F.round("w", digits))
     own = clean_edges(own)
     found = dense(own) if max_q is None else capped(own, max_q)
-    return found.select("complex_id", "q", "birth", "death", F.size("members").alias("size"), "members")
+    found = found.select("complex_id", "q", "birth", "death", F.size("members").alias("size"), "members")
+    if statistics is None:
+        return found
+    lasting = F.sum((F.col("death") == INF).cast("long"))
+    return found.observe(statistics, F.count("*").alias("intervals"), lasting.alias("lasting"), F.max("q").alias("highest_q"), F.max("size").alias("most_members"))
+
+
+class Diagram:
+    """The intervals of one complex, in canonical order: by q, birth, death and members."""
+
+    def __init__(self, found: DataFrame):
+        self.found = found
+
+    def to_dataframe(self) -> DataFrame:
+        return self.found.orderBy("q", "birth", "death", "members").select("q", "birth", "death", "size", "members")
+
+    def numbered(self) -> DataFrame:
+        """With the place i of each interval, from 0. One complex's intervals are ranked in one task."""
+        place = F.row_number().over(W.partitionBy("complex_id").orderBy("q", "birth", "death", "members")) - 1
+        return self.found.select(place.cast("long").alias("i"), "q", "birth", "death", "size", "members")
+
+    def __len__(self) -> int:
+        return self.found.count()
+
+    def row(self, i: int):
+        found = self.to_dataframe().offset(i).limit(1).collect() if i >= 0 else []
+        if not found:
+            raise IndexError(f"no interval {i}")
+        return found[0]
+
+    def __getitem__(self, i: int) -> tuple:
+        r = self.row(i)
+        return r.q, r.birth, r.death, list(r.members)
+
+    def members(self, i: int) -> list[int]:
+        return list(self.row(i).members)
+
+    def size(self, i: int) -> int:
+        return self.row(i)["size"]
 
 
 def of_distance_matrix(rows: DataFrame, max_q: int | None = None, digits: int | None = None) -> DataFrame:
