@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cliquora import functions, ml
 from cliquora.model import SimplicialComplex
 from cliquora.operators import cliques, components, ensemble, pairs, persistence, vectors
 from cliquora.plans import views
 from cliquora.plans.oracles import ORACLES
-from cliquora.sources import matrices
+from cliquora.sources import datasets, generators, matrices
 
 joined = lambda c: F.array_join(c, " ")
 digits = lambda df, n=6: df.withColumn("value", F.round("value", n))
@@ -64,10 +65,61 @@ def sample_vectors(s, d) -> DataFrame:
 
 
 def permutation(s, d) -> DataFrame:
+    """The difference of the groups' consensus vectors under 10 000 exchanges of the labels."""
     name = F.concat_ws(" ", "grp", "sample").alias("sample_id")
     edges = views.yearly(s, d).select(name, "u", "v")
     samples = views.samples(s, d).select(name, "grp")
-    return ensemble.permutation_test(edges, views.nation_vertices(s, d).select("vertex"), samples, "kept", "returned", n_resamples=99, threshold=0.5)
+    found = ensemble.permutation_test(edges, views.nation_vertices(s, d).select("vertex"), samples, "kept", "returned")
+    return digits(found).withColumn("p_value", F.round("p_value", 9))
+
+
+def coauthors(s, d) -> DataFrame:
+    rows = datasets.read_coauthors(s, views.coauthor_files(s, d), "orders")
+    return rows.select("year", "sid", joined("vertices").alias("vertices")).orderBy("year", "sid")
+
+
+def scale_free(s, d) -> DataFrame:
+    """Of seeded graphs what holds whatever the seed: edges, vertices, and that each newcomer brings m edges."""
+    n, m = 60, 3
+    edges = generators.scale_free_graphs(s, n, m, 20)
+    newcomers = edges.groupBy("complex_id", "v").agg(F.count("*").alias("n")).groupBy("complex_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    ends = edges.select("complex_id", F.explode(F.array("u", "v")).alias("x")).groupBy("complex_id").agg(F.count_distinct("x").alias("vertices"), F.expr("count(*) div 2").alias("edges"))
+    return ends.join(newcomers, "complex_id")
+
+
+def degree_graph(s, d) -> DataFrame:
+    """The degrees of a graph made from the nation graph's degrees: the same."""
+    both = cliques.both_ways(views.nation_graph(s, d))
+    n = views.nation_vertices(s, d).join(both.groupBy(F.col("v").alias("vertex")).agg(F.count("*").alias("n")), "vertex", "left")
+    degrees = n.groupBy("complex_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("vertex", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("degrees"))
+    made = cliques.both_ways(generators.degree_graphs(degrees))
+    return made.groupBy(F.col("v").alias("vertex")).agg(F.count_distinct("n").alias("degree"))
+
+
+def set_functions(s, d) -> DataFrame:
+    """Each order's suppliers with and without the first three suppliers, by the functions on sets."""
+    k = views.orders_complex(s, d).simplices
+    some = F.array(*[F.lit(x).cast("long") for x in (1, 2, 3)])
+    m = F.col("members")
+    return k.select("sid", joined(functions.difference(m, some)).alias("less"), joined(functions.union(m, some)).alias("more"), joined(functions.intersection(m, some)).alias("both"),
+                    joined(functions.with_member(m, F.lit(0).cast("long"))).alias("with_zero"), joined(functions.without_member(m, F.array_min(m))).alias("without_first"),
+                    functions.shared_face_dim(m, some).cast("long").alias("face"), F.round(functions.eccentricity(m, some), 6).alias("value"),
+                    F.size(functions.faces(m)).cast("long").alias("n_faces"), F.size(functions.subsets(m, 3)).cast("long").alias("n_triples"))
+
+
+def vertex_ids(s, d) -> DataFrame:
+    """How many prices are whole numbers that could be vertex ids."""
+    own = functions.is_vertex_id(F.col("l_extendedprice")).alias("is_id")
+    return views.read(s, d, "lineitem").select(own).groupBy("is_id").agg(F.count("*").alias("n"))
+
+
+def dataset_of_samples(s, d) -> DataFrame:
+    return views.yearly(s, d).select(F.concat_ws(" ", "grp", "sample").alias("complex_id"), "u", "v")
+
+
+def union_of_stars(s, d) -> DataFrame:
+    k = views.star_complexes(s, d).simplices
+    return k.groupBy("complex_id").agg(joined(functions.union_of_rows(F.col("members"))).alias("members"))
 
 
 QUERIES = {
@@ -86,7 +138,8 @@ QUERIES = {
     "incidence": on_orders(lambda k: k.incidence()),
     "incidence_matrix": on_nations(lambda k: vectors.incidence_matrix(k, list(range(25))).withColumnsRenamed({str(v): f"v{v}" for v in range(25)})),
     "shared_faces": on_suppliers(pairs.shared_faces),
-    "connectivity": on_suppliers(lambda k: pairs.connectivity(k, dense=True)),
+    "connectivity": on_suppliers(pairs.connectivity),
+    "connectivity_dense": on_nations(lambda k: pairs.connectivity(k, dense=True)),
     "eccentricity": on_suppliers(lambda k: digits(pairs.eccentricity(k))),
     "family_eccentricity": on_suppliers(lambda k: digits(pairs.family_eccentricity(k))),
     "maximal_cliques": lambda s, d: cliques.maximal_cliques(views.nation_graph(s, d).select("complex_id", "u", "v"), views.nation_vertices(s, d)).select(joined("members").alias("members"), F.size("members").alias("size")),
@@ -115,5 +168,31 @@ QUERIES = {
     "long_to_wide": lambda s, d: vectors.wide(digits(vectors.graded(views.nation_complex(s, d)))).drop("complex_id"),
     "median_panel": lambda s, d: digits(ensemble.median_panel(sample_vectors(s, d).withColumn("grp", F.split("complex_id", " ")[0]))),
     "permutation_test": permutation,
+    "suppliers_fsv": on_suppliers(vectors.first_structure_vector),
+    "suppliers_tsv": on_suppliers(lambda k: digits(vectors.third_structure_vector(k))),
+    "suppliers_components": on_suppliers(components.q_components),
+    "adjacency": lambda s, d: SimplicialComplex.from_adjacency(views.adjacency_rows(s, d)).simplices.select("sid", joined("members").alias("members")),
+    "edge_rows": lambda s, d: diagram(persistence.of_edge_rows(views.nation_distances(s, d).select(F.col("u").cast("double"), F.col("v").cast("double"), "w"), 1)),
+    "edge_pairs": lambda s, d: matrices.edges_of_pairs(views.read(s, d, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"))).drop("complex_id"),
+    "coauthors": coauthors,
+    "scale_free": scale_free,
+    "degree_graph": degree_graph,
+    "components_at": on_nations(lambda k: components.components_at(k, 2)),
+    "graded_named": on_nations(lambda k: digits(vectors.graded(k, ["SSV", "Topological entropy", "nothing", "fsv", "ssv"]))),
+    "vectors_at": on_nations(lambda k: digits(vectors.value_at(vectors.graded(k), 1))),
+    "vector_named": on_nations(lambda k: digits(vectors.named(vectors.graded(k), "entropy"))),
+    "eccentricity_of": lambda s, d: digits(pairs.eccentricity_of(views.nation_complex(s, d), 0)).unionAll(digits(pairs.eccentricity_of(views.nation_complex(s, d), {0, 1, 2}))),
+    "absorbed": lambda s, d: cliques.without_absorbed(views.star_complexes(s, d).simplices).select("complex_id", "sid", joined("members").alias("members")),
+    "union_of_rows": union_of_stars,
+    "persistence_suppliers": lambda s, d: diagram(persistence.persistent_communities(views.supplier_neighbours(s, d))),
+    "diagram_access": lambda s, d: persistence.Diagram(persistence.persistent_communities(views.nation_distances(s, d), 1)).numbered().withColumn("members", joined("members")),
+    "projection_rows": on_nations(lambda k: ensemble.projection_rows(k, 2, weighted=True).withColumn("row", joined("row"))),
+    "component_labels": on_nations(lambda k: ml.QComponents(q=1).transform(k.simplices)),
+    "graded_transformer": lambda s, d: digits(ml.GradedParameters(metrics=["fsv", "ssv", "entropy"], max_order=6, fill_value=-1.0, n_vertices=25).transform(dataset_of_samples(s, d))),
+    "projection_transformer": on_nations(lambda k: ml.SimplexProjection(q=2, weighted=True).transform(k.simplices)),
+    "filter_transformer": lambda s, d: ml.GraphCliqueFilter(q=4).transform(views.nation_graph(s, d)).drop("complex_id"),
+    "occupation_array": on_nations(lambda k: vectors.occupation_array(k, 5)),
+    "set_functions": set_functions,
+    "vertex_ids": vertex_ids,
 }
 __all__ = ["ORACLES", "QUERIES"]

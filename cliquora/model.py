@@ -64,15 +64,15 @@ class SimplicialComplex:
         self.simplices = simplices.select("complex_id", "sid", F.sort_array(F.array_distinct("members")).alias("members"))
 
     @classmethod
-    def from_graph(cls, edges: DataFrame, vertices: DataFrame | None = None) -> SimplicialComplex:
-        """The maximal cliques of a graph; isolated vertices are simplices of dimension 0.
+    def from_graph(cls, edges: DataFrame, vertices: DataFrame | None = None, by_graph: bool = False) -> SimplicialComplex:
+        """The maximal cliques of a graph; isolated vertices are simplices of dimension 0. by_graph: one task searches a whole graph.
 
         They are searched once and written to the checkpoint folder: every vector reads them several times.
         """
         from cliquora.operators.cliques import maximal_cliques, numbered
         from cliquora.operators.durable import durable
 
-        return cls(durable(numbered(maximal_cliques(edges, vertices))))
+        return cls(durable(numbered(maximal_cliques(edges, vertices, by_graph))))
 
     @classmethod
     def from_adjacency(cls, rows: DataFrame) -> SimplicialComplex:

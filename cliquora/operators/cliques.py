@@ -35,17 +35,30 @@ def search(near: dict[int, set[int]], root: int) -> list[list[int]]:
     return found
 
 
-def maximal_cliques(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def maximal_cliques(edges: DataFrame, vertices: DataFrame | None = None, by_graph: bool = False) -> DataFrame:
     """(complex_id, members) of edges (complex_id, u, v), u < v. Vertices without an edge are cliques of their own.
 
     A task gets one vertex, its neighbours and the edges among them (a triangle join), so that a graph spreads over the cluster.
+    by_graph: a task gets whole graphs, for ensembles of many small ones. A vertex with very many neighbours has them all in a task.
     """
     star = both_ways(edges)
+    kind = edges.schema["complex_id"].dataType.simpleString()
+    schema = f"complex_id {kind}, members array<bigint>"
+
+    def named(name, found):
+        return pd.DataFrame({"complex_id": pd.Series([name] * len(found), dtype=object), "members": pd.Series(found, dtype=object)})
+
+    def whole(key, pdf):
+        near: dict[int, set[int]] = {}
+        for x, y in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
+        return named(key[0], [c for v in near for c in search({n: near[n] & near[v] for n in near[v]}, v)])
+
     a, b = star.withColumnRenamed("n", "a"), star.withColumnRenamed("n", "b")
     # links among the neighbours of v: a-b is an edge, and both are neighbours of v
     links = a.join(edges.select("complex_id", F.col("u").alias("a"), F.col("v").alias("b")), ["complex_id", "a"]).join(b, ["complex_id", "v", "b"], "left_semi")
     rows = star.select("complex_id", "v", F.col("n").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(links.select("complex_id", "v", "a", "b"))
-    kind = edges.schema["complex_id"].dataType.simpleString()
 
     def cliques(key, pdf):
         lone, linked = pdf[pdf["b"].isna()], pdf[pdf["b"].notna()]
@@ -53,10 +66,9 @@ def maximal_cliques(edges: DataFrame, vertices: DataFrame | None = None) -> Data
         for x, y in zip(linked["a"].astype(int), linked["b"].astype(int), strict=True):
             near[x].add(y)
             near[y].add(x)
-        found = search(near, int(key[1]))
-        return pd.DataFrame({"complex_id": pd.Series([key[0]] * len(found), dtype=object), "members": pd.Series(found, dtype=object)})
+        return named(key[0], search(near, int(key[1])))
 
-    out = rows.groupBy("complex_id", "v").applyInPandas(cliques, f"complex_id {kind}, members array<bigint>")
+    out = edges.select("complex_id", "u", "v").groupBy("complex_id").applyInPandas(whole, schema) if by_graph else rows.groupBy("complex_id", "v").applyInPandas(cliques, schema)
     if vertices is not None:
         linked = star.select("complex_id", F.col("v").alias("vertex")).distinct()
         out = out.unionByName(vertices.join(linked, ["complex_id", "vertex"], "left_anti").distinct().select("complex_id", F.array("vertex").alias("members")))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cliquora.model import SimplicialComplex
+from cliquora.operators.durable import durable
 from cliquora.operators.vectors import graded, padded
 
 
@@ -88,25 +89,28 @@ def shuffled(samples: DataFrame, n_resamples: int, seed: int = 0) -> DataFrame:
 def permutation_test(edges: DataFrame, vertices: DataFrame, samples: DataFrame, first, second, n_resamples: int = 10_000, threshold: float = 0.95, names=None, seed: int = 0) -> DataFrame:
     """(q, vector, value, p_value): the consensus statistic and its two-sided p-value under exchanged labels.
 
-    edges (sample_id, u, v), vertices (vertex), samples (sample_id, grp). All resamples are one plan: a complex for each
-    resample and group. Two-sided as twice the smaller tail, with the observed one counted, at most 1.
+    edges (sample_id, u, v), vertices (vertex), samples (sample_id, grp). All resamples are one plan. A group's consensus depends on
+    which samples it has, so that each distinct set of samples (a team) is one complex, however many resamples deal it: with n
+    samples a group there are at most C(2n, n) of them. Two-sided as twice the smaller tail, with the observed one counted, at most
+    1; values that differ by 1e-9 or less are equal.
     """
     dealt = shuffled(samples, n_resamples, seed)
-    sizes = dealt.groupBy("resample", "grp").agg(F.count("*").alias("n"))
-    grp = F.concat_ws("|", F.col("resample").cast("string"), F.col("grp").cast("string"))
-    has = edges.join(dealt, "sample_id").select(grp.alias("grp"), F.col("sample_id").alias("sample"), "u", "v")
-    rows = consensus(has, sizes.select(grp.alias("grp"), "n"), threshold).withColumnRenamed("grp", "complex_id")
-    sites = sizes.select(grp.alias("complex_id")).withColumn("all", F.lit(1)).join(F.broadcast(vertices.withColumn("all", F.lit(1))), "all").select("complex_id", "vertex")
-    found = padded(graded(SimplicialComplex.from_graph(rows, sites), names))
-    part = F.split("complex_id", r"\|")
-    found = found.select(part[0].cast("int").alias("resample"), part[1].alias("grp"), "q", "vector", "value")
+    teams = dealt.groupBy("resample", "grp").agg(F.sort_array(F.collect_list("sample_id")).alias("own"))
+    teams = durable(teams.select("resample", "grp", "own", F.md5(F.concat_ws("\x1f", "own")).alias("team")))
+    distinct = durable(teams.select("team", "own").dropDuplicates(["team"]))
+    has = distinct.select(F.col("team").alias("grp"), F.explode("own").alias("sample_id")).join(edges, "sample_id").select("grp", F.col("sample_id").alias("sample"), "u", "v")
+    rows = consensus(has, distinct.select(F.col("team").alias("grp"), F.size("own").alias("n")), threshold).withColumnRenamed("grp", "complex_id")
+    sites = vertices.agg(F.collect_set("vertex").alias("all"))  # one row, as long as the graphs have vertices
+    sites = distinct.select(F.col("team").alias("complex_id")).join(F.broadcast(sites)).select("complex_id", F.explode("all").alias("vertex"))
+    found = durable(padded(graded(SimplicialComplex.from_graph(rows, sites, by_graph=True), names)))
     sign = F.when(F.col("grp") == str(first), 1.0).when(F.col("grp") == str(second), -1.0)
+    both = teams.select("resample", F.col("grp").cast("string").alias("grp"), F.col("team").alias("complex_id")).join(found, "complex_id")
     # a value that is undefined in either group makes the difference 0
-    stat = found.groupBy("resample", "q", "vector").agg(F.when(F.count("value") == 2, F.sum(sign * F.col("value"))).otherwise(0.0).alias("value"))
+    stat = both.groupBy("resample", "q", "vector").agg(F.when(F.count("value") == 2, F.sum(sign * F.col("value"))).otherwise(0.0).alias("value"))
     seen = stat.where("resample = 0").select("q", "vector", F.col("value").alias("observed"))
     tails = stat.join(seen, ["q", "vector"]).groupBy("q", "vector", "observed").agg(
-        F.sum(F.when((F.col("resample") > 0) & (F.col("value") >= F.col("observed") - 1e-12), 1).otherwise(0)).alias("above"),
-        F.sum(F.when((F.col("resample") > 0) & (F.col("value") <= F.col("observed") + 1e-12), 1).otherwise(0)).alias("below"))
+        F.count_if((F.col("resample") > 0) & (F.col("value") >= F.col("observed") - 1e-9)).alias("above"),
+        F.count_if((F.col("resample") > 0) & (F.col("value") <= F.col("observed") + 1e-9)).alias("below"))
     p = F.least(F.lit(1.0), 2 * (F.least("above", "below") + 1) / (n_resamples + 1))
     return tails.select("q", "vector", F.col("observed").alias("value"), p.alias("p_value"))
 

@@ -103,6 +103,32 @@ LABELS = """me as (select label, d, avg(x::double) as x from (select label, unne
 no as (select label, row_number() over (order by label) - 1 as i from (select distinct label from me)),
 e as (select a.i as u, b.i as v, round(sum((x.x - y.x) ** 2), 3) as w from me x join me y on x.d = y.d join no a on a.label = x.label join no b on b.label = y.label where a.i < b.i group by a.i, b.i)"""
 
+#: Components of every level by the widest paths between simplices, doubled until paths of any length are in.
+WIDEST = K_SUPP + PAIRS + """,
+w0 as (select i, j, shared as w from pr union all select j, i, shared from pr union all select sid, sid, len(m) from k),
+""" + ",\n".join(f"w{n + 1} as materialized (select a.i, b.j, max(least(a.w, b.w)) as w from w{n} a join w{n} b on a.j = b.i group by a.i, b.j)" for n in range(7)) + """,
+lv as (select sid, unnest(range(0, len(m))) as q from k),
+comp as (select q, sid, min(j) as component from lv join w7 on w7.i = sid and w7.w > q group by q, sid)"""
+
+#: The difference of two groups under 10 000 exchanges of their labels; a team is a set of samples that some exchange deals to a group.
+PERMUTED = YEARLY + """,
+sa as (select distinct case when flag then 'returned' else 'kept' end as grp, (case when flag then 'returned' else 'kept' end) || ' ' || year as sample_id from t),
+la as (select grp, row_number() over (order by grp, sample_id) as place from sa),
+de as (select r, sample_id, row_number() over (partition by r order by md5('0:' || r || ':' || sample_id), sample_id) as place from sa cross join range(1, 10001) x(r)),
+dl as (select 0 as r, sample_id, grp from sa union all select r, sample_id, la.grp from de join la on la.place = de.place),
+tm as (select r, grp, list_sort(list(sample_id)) as own from dl group by r, grp),
+ti as (select own, row_number() over (order by own) as g from (select distinct own from tm)),
+tn as (select ti.g, len(own) as n, unnest(own) as sample_id from ti),
+ge as (select g, u, v from tn join ys on tn.sample_id = ys.grp || ' ' || ys.sample group by g, u, v, n having count(*) / n > 0.95),
+gv as (select g, n_nationkey::bigint as vertex from ti, nation)"""
+
+SUPPLIERS = """pl as (select distinct l_orderkey as o, l_suppkey as s from lineitem),
+pn as (select a.s as u, b.s as v, count(*) as n from pl a join pl b on a.o = b.o and a.s <> b.s group by all),
+e as (select distinct least(u, v)::bigint as u, greatest(u, v)::bigint as v, -n::double as w from (select *, row_number() over (partition by u order by n desc, v) as place from pn) where place <= 3)"""
+
+STARS = """,
+k as (select grp || ' ' || sample as g, u as sid, list_sort(list(distinct v)) as m from ys group by all)"""
+
 ORACLES = {
     "simplex_count": with_(K_ORDER, LEVELS, " select lv.q::int as q, count(k.sid) as value from lv left join k on len(m) - 1 = lv.q group by lv.q"),
     "ssv": with_(K_ORDER, LEVELS, " select lv.q::int as q, count(k.sid) as value from lv left join k on len(m) - 1 >= lv.q group by lv.q"),
@@ -120,7 +146,8 @@ ORACLES = {
     "incidence": with_(K_ORDER, " select sid, unnest(m) as vertex from k"),
     "incidence_matrix": with_(NATIONS, COMPLEX, " select k.sid, " + ", ".join(f"max((list_contains(m, {v}))::int)::int as v{v}" for v in range(25)) + " from k group by k.sid"),
     "shared_faces": with_(K_SUPP, PAIRS, LEVELS, " select lv.q::int as q, count(pr.i) as value from lv left join pr on pr.shared - 1 = lv.q group by lv.q"),
-    "connectivity": with_(K_SUPP, PAIRS, """ select a.sid as i, b.sid as j, case when a.sid = b.sid then len(a.m) - 1 else coalesce(shared, 0) - 1 end::bigint as value
+    "connectivity": with_(K_SUPP, PAIRS, """ select i, j, (shared - 1)::bigint as value from pr union all select j, i, (shared - 1)::bigint from pr union all select sid, sid, (len(m) - 1)::bigint from k"""),
+    "connectivity_dense": with_(NATIONS, COMPLEX, PAIRS, """ select a.sid as i, b.sid as j, case when a.sid = b.sid then len(a.m) - 1 else coalesce(shared, 0) - 1 end::bigint as value
         from k a cross join k b left join pr on pr.i = least(a.sid, b.sid) and pr.j = greatest(a.sid, b.sid)"""),
     "eccentricity": with_(K_SUPP, PAIRS, ", bo as (select i, j, shared from pr union all select j, i, shared from pr) select i, j, round(1 - shared / len(m), 6) as value from bo join k on k.sid = i"),
     "family_eccentricity": with_(K_SUPP, PAIRS, """, bo as (select i, shared from pr union all select j, shared from pr), lo as (select i, max(shared) as s from bo group by i)
@@ -156,4 +183,45 @@ ORACLES = {
         select nm.g, sc2.q::int as q, nm.vector, round(value, 6) as value from sc2 cross join nm left join vec on vec.g = nm.g and vec.q = sc2.q and vec.vector = nm.vector"""),
     "long_to_wide": with_(NATIONS, COMPLEX, VECTORS, " select q::int as q, " + ", ".join(f"round(max(case when vector = '{n}' then value end), 6) as {n}" for n in ("fsv", "ssv", "tsv", "entropy", "simplices", "faces")) + " from vec group by q"),
     "median_panel": with_(SAMPLES, COMPLEX, VECTORS, " select split_part(g, ' ', 1) as grp, q::int as q, vector, round(median(value), 6) as value from vec group by all"),
+    "permutation_test": with_(PERMUTED, COMPLEX, VECTORS, """, top as (select max(q) as o from vec), nm as (select distinct vector from vec), sc2 as (select unnest(range(0, o + 1)) as q from top),
+        st as (select a.r, sc2.q, nm.vector, coalesce(x.value - y.value, 0) as value
+               from (select r, g from tm join ti on ti.own = tm.own where grp = 'kept') a join (select r, g from tm join ti on ti.own = tm.own where grp = 'returned') b on a.r = b.r cross join sc2 cross join nm
+               left join vec x on x.g = a.g and x.q = sc2.q and x.vector = nm.vector left join vec y on y.g = b.g and y.q = sc2.q and y.vector = nm.vector)
+        select o.q::int as q, o.vector, round(o.value, 6) as value,
+               round(least(1.0::double, 2.0::double * (least(count(*) filter (st.value >= o.value - 1e-9), count(*) filter (st.value <= o.value + 1e-9)) + 1) / 10001), 9) as p_value
+        from st o join st on st.q = o.q and st.vector = o.vector and st.r > 0 where o.r = 0 group by o.q, o.vector, o.value"""),
+    "suppliers_fsv": with_(WIDEST, " select q::int as q, count(distinct component)::bigint as value from comp group by q"),
+    "suppliers_tsv": with_(WIDEST, " select q::int as q, round(1 - count(distinct component) / count(*), 6) as value from comp group by q"),
+    "suppliers_components": with_(WIDEST, " select q::int as q, sid, component from comp"),
+    "adjacency": with_(NATIONS, COMPLEX, " select sid, array_to_string(m, ' ') as members from k"),
+    "edge_rows": persistence(NATION_STEPS, 1),
+    "edge_pairs": "select distinct least(l_suppkey, l_partkey)::bigint as u, greatest(l_suppkey, l_partkey)::bigint as v from lineitem where l_suppkey <> l_partkey",
+    "coauthors": """select year(o_orderdate)::int as year, row_number() over (order by o_orderkey) - 1 as sid, coalesce(vs, '') as vertices
+        from orders left join (select l_orderkey, string_agg(l_suppkey::varchar, ' ' order by l_linenumber) as vs from lineitem group by l_orderkey) on l_orderkey = o_orderkey""",
+    "scale_free": "select x::bigint as complex_id, 60::bigint as vertices, (3 * 57)::bigint as edges, 3::bigint as least, 3::bigint as most from range(20) r(x)",
+    "degree_graph": with_(NATIONS, " select vertex, count(*) as degree from (select u as vertex from ge union all select v from ge) group by vertex"),
+    "components_at": with_(NATIONS, COMPLEX, CONNECTED, " select sid, component from comp where q = 2"),
+    "graded_named": with_(NATIONS, COMPLEX, VECTORS, " select q::int as q, vector, round(value, 6) as value from vec where vector in ('ssv', 'entropy', 'fsv')"),
+    "vectors_at": with_(NATIONS, COMPLEX, VECTORS, " select q::int as q, vector, round(value, 6) as value from vec where q = 1"),
+    "vector_named": with_(NATIONS, COMPLEX, VECTORS, " select q::int as q, vector, round(value, 6) as value from vec where vector = 'entropy'"),
+    "eccentricity_of": with_(NATIONS, COMPLEX, """ select round(min(1 - len(list_intersect(a.m, b.m)) / len(a.m)), 6) as value from k a join k b on b.sid <> 0 where a.sid = 0
+        union all select round(min(1 - len(list_intersect([0, 1, 2], m)) / 3), 6) from k"""),
+    "absorbed": with_(YEARLY, STARS, """ select g as complex_id, sid, array_to_string(m, ' ') as members from k
+        where not exists (select 1 from k b where b.g = k.g and b.sid <> k.sid and len(list_intersect(k.m, b.m)) = len(k.m) and (len(b.m) > len(k.m) or b.sid < k.sid))"""),
+    "union_of_rows": with_(YEARLY, STARS, " select g as complex_id, array_to_string(list_sort(list_distinct(flatten(list(m)))), ' ') as members from k group by g"),
+    "persistence_suppliers": persistence(SUPPLIERS, 12),
+    "diagram_access": f"select row_number() over (order by q, birth, death, list_transform(string_split(members, ' '), lambda x: x::bigint)) - 1 as i, * from ({persistence(NATION_STEPS, 1)})",
+    "projection_rows": with_(NATIONS, COMPLEX, """, inc as (select sid, unnest(m) as vertex from k where len(m) > 2), pj as (select a.vertex as i, b.vertex as j, count(*) as value from inc a join inc b on a.sid = b.sid and a.vertex <> b.vertex group by all),
+        n as (select unnest(range(0, max(list_max(m)) + 1)) as x from k)
+        select a.x as i, string_agg(coalesce(value, 0)::varchar, ' ' order by b.x) as row from n a cross join n b left join pj on pj.i = a.x and pj.j = b.x group by a.x"""),
+    "component_labels": with_(NATIONS, COMPLEX, CONNECTED, " select sid, component from comp where q = 1"),
+    "graded_transformer": with_(SAMPLES, COMPLEX, VECTORS, """, sc2 as (select unnest(range(0, 7)) as q), nm as (select distinct g, vector from vec where vector in ('fsv', 'ssv', 'entropy'))
+        select nm.g as complex_id, sc2.q::int as q, nm.vector, round(coalesce(value, -1), 6) as value from sc2 cross join nm left join vec on vec.g = nm.g and vec.q = sc2.q and vec.vector = nm.vector"""),
+    "occupation_array": with_(NATIONS, COMPLEX, """, n as (select unnest(range(0, max(list_max(m)) + 1)) as vertex from k) select n.vertex, count(k.sid) as value from n left join k on len(m) = 6 and list_contains(m, n.vertex) group by n.vertex"""),
+    "set_functions": with_(K_ORDER, """ select sid, array_to_string(list_filter(m, lambda x: x > 3), ' ') as less, array_to_string(list_sort(list_distinct(list_concat(m, [1, 2, 3]))), ' ') as more,
+        array_to_string(list_filter(m, lambda x: x <= 3), ' ') as both, '0 ' || array_to_string(m, ' ') as with_zero, array_to_string(m[2:], ' ') as without_first,
+        (len(list_filter(m, lambda x: x <= 3)) - 1)::bigint as face, round(1 - len(list_filter(m, lambda x: x <= 3)) / len(m), 6) as value,
+        (case when len(m) > 1 then len(m) else 0 end)::bigint as n_faces, (len(m) * (len(m) - 1) * (len(m) - 2) // 6)::bigint as n_triples from k"""),
+    "vertex_ids": "select l_extendedprice = floor(l_extendedprice) and l_extendedprice between 0 and 4294967295 as is_id, count(*) as n from lineitem group by 1",
 }
+ORACLES |= {"projection_transformer": ORACLES["projection_weighted"], "filter_transformer": ORACLES["clique_filter"]}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cliquora.model import SimplicialComplex
+from cliquora.operators.durable import durable
+
 
 def zero():
     return F.lit(0).cast("long").alias("complex_id")
@@ -94,3 +98,46 @@ def yearly(spark, sf_dir) -> DataFrame:
 def samples(spark, sf_dir) -> DataFrame:
     """(grp, sample) of every year with orders that were delivered."""
     return trade(spark, sf_dir).select(F.when(F.col("flag"), "returned").otherwise("kept").alias("grp"), F.col("year").alias("sample")).distinct()
+
+
+def supplier_neighbours(spark, sf_dir, nearest: int = 3) -> DataFrame:
+    """(complex_id, u, v, w): each supplier and those that share the most orders with it; the more orders, the nearer."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("o"), F.col("l_suppkey").cast("long").alias("s")).distinct()
+    both = rows.alias("a").join(rows.alias("b"), (F.col("a.o") == F.col("b.o")) & (F.col("a.s") != F.col("b.s")))
+    n = both.groupBy(F.col("a.s").alias("u"), F.col("b.s").alias("v")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("u").orderBy(F.col("n").desc(), "v"))
+    near = n.withColumn("place", place).where(F.col("place") <= nearest)
+    return near.select(zero(), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (-F.col("n")).cast("double").alias("w")).distinct()
+
+
+def star_complexes(spark, sf_dir) -> SimplicialComplex:
+    """A complex for each year and flag; a simplex is a nation with its later neighbours."""
+    rows = yearly(spark, sf_dir)
+    name = F.concat_ws(" ", "grp", "sample").alias("complex_id")
+    return SimplicialComplex(rows.groupBy(name, F.col("u").alias("sid")).agg(F.collect_set("v").alias("members")))
+
+
+def adjacency_rows(spark, sf_dir) -> DataFrame:
+    """(i, row ARRAY<INT>): the adjacency matrix of the nation graph."""
+    edges = nation_graph(spark, sf_dir).select("u", "v")
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    own = both.groupBy(F.col("u").alias("i")).agg(F.collect_set("v").alias("near"))
+    every = nation_vertices(spark, sf_dir).select(F.col("vertex").alias("i"))
+    places = every.agg(F.sort_array(F.collect_list("i")).alias("all"))
+    rows = every.join(own, "i", "left").join(F.broadcast(places))
+    return rows.select("i", F.transform("all", lambda j: F.coalesce(F.array_contains("near", j), F.lit(False)).cast("int")).alias("row"))
+
+
+def coauthor_files(spark, sf_dir) -> str:
+    """The folder of three text files in the format of co-authorship data sets: orders in order, their suppliers line by line, their years.
+
+    Written to the shared checkpoint folder; one file each, as the format has it.
+    """
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_suppkey")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.year("o_orderdate").alias("year"))
+    orders = orders.join(lines.groupBy("o").agg(F.count("*").alias("n")), "o", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    durable(spark.range(1))  # sets the folder where it is unset
+    folder = f"{spark.sparkContext.getCheckpointDir()}/coauthors-{uuid.uuid4().hex}"
+    for name, rows, value in (("nverts", orders.orderBy("o"), "n"), ("simplices", lines.orderBy("o", "l_linenumber"), "l_suppkey"), ("times", orders.orderBy("o"), "year")):
+        rows.select(F.col(value).cast("string").alias("value")).coalesce(1).write.text(f"{folder}/orders-{name}.txt")
+    return folder
