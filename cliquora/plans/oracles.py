@@ -218,10 +218,10 @@ ORACLES = {
     "graded_transformer": with_(SAMPLES, COMPLEX, VECTORS, """, sc2 as (select unnest(range(0, 7)) as q), nm as (select distinct g, vector from vec where vector in ('fsv', 'ssv', 'entropy'))
         select nm.g as complex_id, sc2.q::int as q, nm.vector, round(coalesce(value, -1), 6) as value from sc2 cross join nm left join vec on vec.g = nm.g and vec.q = sc2.q and vec.vector = nm.vector"""),
     "occupation_array": with_(NATIONS, COMPLEX, """, n as (select unnest(range(0, max(list_max(m)) + 1)) as vertex from k) select n.vertex, count(k.sid) as value from n left join k on len(m) = 6 and list_contains(m, n.vertex) group by n.vertex"""),
-    "set_functions": with_(K_ORDER, """ select sid, array_to_string(list_filter(m, lambda x: x > 3), ' ') as less, array_to_string(list_sort(list_distinct(list_concat(m, [1, 2, 3]))), ' ') as more,
-        array_to_string(list_filter(m, lambda x: x <= 3), ' ') as both, '0 ' || array_to_string(m, ' ') as with_zero, array_to_string(m[2:], ' ') as without_first,
-        (len(list_filter(m, lambda x: x <= 3)) - 1)::bigint as face, round(1 - len(list_filter(m, lambda x: x <= 3)) / len(m), 6) as value,
-        (case when len(m) > 1 then len(m) else 0 end)::bigint as n_faces, (len(m) * (len(m) - 1) * (len(m) - 2) // 6)::bigint as n_triples from k"""),
+    "set_functions": with_(K_ORDER, """, x as (select sid, m, list_filter(m, lambda x: x in (1, 2, 3)) as few, list_filter(m, lambda x: x not in (1, 2, 3)) as rest from k)
+        select sid, array_to_string(rest, ' ') as less, array_to_string(list_sort(list_distinct(list_concat(m, [1, 2, 3]))), ' ') as more, array_to_string(few, ' ') as both,
+        array_to_string(list_sort(list_distinct(list_append(m, 0))), ' ') as with_zero, array_to_string(m[2:], ' ') as without_first, (len(few) - 1)::bigint as face, round(len(rest) / len(m), 6) as value,
+        (case when len(m) > 1 then len(m) else 0 end)::bigint as n_faces, (len(m) * (len(m) - 1) * (len(m) - 2) // 6)::bigint as n_triples from x"""),
     "vertex_ids": "select l_extendedprice = floor(l_extendedprice) and l_extendedprice between 0 and 4294967295 as is_id, count(*) as n from lineitem group by 1",
 }
 ORACLES |= {"projection_transformer": ORACLES["projection_weighted"], "filter_transformer": ORACLES["clique_filter"]}
