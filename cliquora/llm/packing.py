@@ -7,7 +7,9 @@ document), each go to the sequence of the lowest cost that has room. There are j
 rest that is longer than the room fills it and goes on with the next one. The tokens that would be padded at the group's end
 wait for the next group, so that only a partition's last sequence can have padding.
 
-Null texts are empty: one token, the separator. Repeated rows are packed like others, each once. An empty table gives no rows.
+Null texts are empty: one token, the separator. Null keys stay null, and rows with equal keys are packed each by itself. Rests of
+equal cost go in the order of the rows. A very long text is encoded whole and cut into sequences; a group holds it and no more. Only
+the key and the text are read, so that no other column can clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ SEQUENCE, GROUP_TOKENS = 1024, 1 << 21
 LINEAR, QUADRATIC = 1024.0, 1.0
 SEPARATOR = 0
 #: Rows that an Arrow batch has at most decide how much text waits in memory.
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @lru_cache(maxsize=2)
@@ -90,32 +92,34 @@ def pack(lengths: list[int], last: bool, size: int = SEQUENCE) -> tuple[list[tup
     return pieces, n, left
 
 
-def pack_documents(documents: DataFrame, vocabulary: str, separator: int = SEPARATOR, size: int = SEQUENCE) -> DataFrame:
-    """One row a piece; a sequence's pieces follow one another from offset 0."""
+def pack_documents(documents: DataFrame, vocabulary: str, separator: int = SEPARATOR, size: int = SEQUENCE, name: str = "doc_id") -> DataFrame:
+    """One row a piece: the document's key (column `name`, of any type), start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def packed(batches):
         encode = encoder(vocabulary)
         first = TaskContext.get().partitionId() << 40
-        waiting: list[tuple[int, int, int, np.ndarray]] = []  # doc_id, tokens before, tokens of the document, ids
+        waiting: list[tuple] = []  # key, tokens before, tokens of the document, ids
 
         def flush(last: bool):
             nonlocal waiting, first
             pieces, n, left = pack([len(w[3]) for w in waiting], last, size)
-            out = []
+            keys, out = [], []
             for item, start, length, sequence, offset in pieces:
-                doc_id, before, tokens, ids = waiting[item]
-                out.append((doc_id, before + start, length, zlib.crc32(ids[start : start + length].tobytes()), tokens, first + sequence, offset))
+                key, before, tokens, ids = waiting[item]
+                keys.append(key)
+                out.append((before + start, length, zlib.crc32(ids[start : start + length].tobytes()), tokens, first + sequence, offset))
             waiting = [(waiting[i][0], waiting[i][1] + start, waiting[i][2], waiting[i][3][start:]) for i, start in left]
             first += n
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], SCHEMA.replace(" long", "").split(", "))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(keys, kept), *(pa.array(c, pa.int64()) for c in columns)], [name, *PIECES.replace(" long", "").split(", ")])
 
-        held = 0
+        held, kept = 0, pa.null()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            kept = batch.column(0).type
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "")
                 ids.append(separator)
-                waiting.append((doc_id, 0, len(ids), np.array(ids, "<u4")))
+                waiting.append((key, 0, len(ids), np.array(ids, "<u4")))
                 held += len(ids)
                 if held >= GROUP_TOKENS:
                     yield flush(False)
@@ -123,4 +127,5 @@ def pack_documents(documents: DataFrame, vocabulary: str, separator: int = SEPAR
         if waiting:
             yield flush(True)
 
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(packed, SCHEMA)
+    kind = documents.schema[name].dataType.simpleString()
+    return documents.select(name, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(packed, f"`{name}` {kind}, {PIECES}")
