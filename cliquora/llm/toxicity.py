@@ -8,8 +8,9 @@ The dictionaries are content dictionaries: words in order of frequency, the comm
 with the words of toxic texts behind it, so that ordinary text gains nothing. (zstandard's
 own trainer did worse in trials with other windows; see the README.)
 
-Null and empty texts have no windows: they get the score of a text without hits. Repeated rows get equal scores. Other
-columns of the input are never read.
+Null and empty texts have no windows: they get the score of a text without hits. Repeated rows get equal scores, and equal scores
+are left as ties. A null id counts as an empty one for held_out. A very long text is compressed window by window. Only doc_id and
+text are read, so that no other column can clash. Without labels of both classes no text is toxic. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -179,5 +180,6 @@ def score_toxicity(documents: DataFrame, model: Model) -> DataFrame:
 
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
     rows = documents.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text"))
-    rows = rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, n_windows long, n_hits long, n_clear long")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = rows.mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double, n_windows long, n_hits long, n_clear long")
     return rows.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_windows", "n_hits", "n_clear")
