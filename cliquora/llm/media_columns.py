@@ -3,8 +3,10 @@
 A payload of bytes is stored losslessly in a WAV file whose samples (G.711) or blocks (ADPCM) the bytes are; decoding gives
 16-bit PCM at 8 kHz, resampled to 16 kHz by a half-band filter that keeps every original sample at its even place.
 
-Null and empty texts give one payload of padding; equal payloads give equal files and features. Blocks are decoded many at a
-time and at most MAX_BLOCKS together, so that memory is bounded whatever the lengths. An empty table gives no rows.
+Null and empty texts give one payload of padding; equal payloads give equal files and features, so that ties don't arise. Blocks are
+decoded many at a time, MAX_BLOCKS at most, and rows in groups of up to GROUP_BYTES: a task holds the sound of one group or of one
+text (eight bytes a byte), whichever is more. Only the keys and the column are read; keys named like a column of the result clash and
+are the caller's to name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK, PAD, RATE = 576, 255, 8000
 MAX_BLOCKS = 2048
+#: Bytes of payload that are decoded together, and rows.
+GROUP_BYTES, GROUP_ROWS = 1 << 20, 64
 #: WAV format tags.
 ALAW, MULAW, IMA = 6, 7, 17
 NAMES = {ALAW: "alaw", MULAW: "mulaw", IMA: "ima_adpcm"}
@@ -139,6 +144,19 @@ def decode_many(files: list[tuple[int, bytes]]) -> list[np.ndarray]:
     return out
 
 
+def grouped(batch: pa.RecordBatch, data: pa.Array):
+    """Slices of the batch, by the bytes of its data."""
+    sizes = [x or 0 for x in pc.binary_length(data).to_pylist()]
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and (held + n > GROUP_BYTES or i - at >= GROUP_ROWS):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def features(name: str, pcm: np.ndarray) -> str:
     """Integers only, so that they are the same everywhere: peak, mean size, sign changes, energy in eight equal parts."""
     size = np.abs(pcm.astype(np.int32))
@@ -156,8 +174,7 @@ def store_telephony(rows: DataFrame, column: str, keys=("doc_id",), codec: int |
 
     def stored(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in grouped(batch, batch.column("data_")):
                 data = [x.as_py() or b"" for x in part.column("data_")]
                 payloads = [pad(x) for x in data]
                 tags = [codec or (MULAW, ALAW, IMA)[zlib.crc32(x) % 3] for x in payloads]
@@ -178,8 +195,7 @@ def describe(media: DataFrame, keys=("doc_id",)) -> DataFrame:
 
     def described(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in grouped(batch, batch.column("media")):
                 files = [x.as_py() for x in part.column("media")]
                 read = [read_wav(f) for f in files]
                 sounds = [read_wav(x.as_py())[1] for x in part.column("pcm")]
