@@ -8,7 +8,9 @@ above the main text, in it, or out; under an outer node all is out, under a main
 The trees are fitted on TRAINING_PAGES generated pages whose parts are known (articles amid menus, headers, footers, sidebars,
 notices, adverts, forms, comments); the generator is seeded, so that every run has the same model.
 
-Null and empty pages have empty text. Unclosed, misnested and cut-off markup is closed where the next block starts or the page
+Where the trees choose nothing but text stands right in the body, that text and the body's own paragraphs are the main text (a
+page without any box). Ties in the decoding go to the outer part. Keys named text, n_chars or html_ would clash and are the caller's
+to name; other columns are not read. Null and empty pages have empty text. Unclosed, misnested and cut-off markup is closed where the next block starts or the page
 ends; a head ends at the first tag that can't be in it, a hidden paragraph, item or cell where the next one starts or what it is in
 ends, and of other hidden or dropped elements without an end tag only the start tag goes (of script, style, textarea and title the
 rest of the page). Very long pages are parsed in one pass. Repeated rows give equal texts. An empty table gives no rows.
@@ -538,6 +540,11 @@ class Model:
         for nodes, blocks in parsed:
             main = decode(nodes, odds[at : at + len(nodes)])
             at += len(nodes)
+            if not any(main[node] for node, _ in blocks):
+                # nothing is in a box that looks like main text: what stands right in the body is
+                main = [n.tag == "body" or not i or n.tag == "p" and nodes[n.parent].tag in ("body", "html") for i, n in enumerate(nodes)]
+                if not any(main[node] and nodes[node].tag != "p" for node, _ in blocks):
+                    main = [False] * len(nodes)
             out.append("\n".join(text for node, text in blocks if main[node]))
         return out
 

@@ -42,3 +42,13 @@ def test_many_unclosed(tag):
     began = time.time()
     html_extraction.parse(tag * 20000)
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("just text", "just text"),
+    ("<html><head><title>x</title></head><body>One line.<br>Another line.<p>And a paragraph.</body></html>", "One line. Another line.\nAnd a paragraph."),
+    ("<body><nav><a href=x>menu</a></nav></body>", ""),
+    ("<body><nav><a href=x>menu</a></nav>The text.</body>", "The text."),
+])
+def test_text_right_in_the_body(page, want):
+    assert html_extraction.train().extract_many([page])[0] == want
