@@ -1,20 +1,22 @@
 r"""Substring dedup by line hashing, with long lines cut where their own words say.
 
 Units. A text's lines, and within a line its pieces: a piece ends after a word whose hash with the word before it is 0 mod CUT
-(eight words on average), or with the line. Where a piece ends depends on two neighbouring words alone, so that an equal passage
+(five words on average), or with the line. Where a piece ends depends on two neighbouring words alone, so that an equal passage
 is cut alike wherever it stands, in the middle of a line too; equal lines have equal pieces. Units are normalised (case folded,
 words joined by one space) and hashed to 128 bits.
 
-Rank. Digests are grouped over all texts. The occurrence of the least (key, text hash, position) stays, every other one is a
-repeat; rows without a key rank last, so that a null key keeps a unit only where no other row has it.
+Rank. Units are shuffled once, by digest, and those of a digest sorted by rank. The occurrence of the least (key, text hash,
+position) stays, every other one is a repeat; rows without a key rank last, so that a null key keeps a unit only where no other row
+has it.
 
 Removal. Repeats that follow one another make a run, which goes from its first unit to its last; lines without a word lie between
 units and go with a run around them. min_words leaves runs of fewer words alone; by default (1) every repeat goes.
 
 Removed spans keep their offsets in the original text (code points, end exclusive); the rest of the text is what lies between.
 Null and empty texts have no units and stay as they are. Repeated rows with the same key and text are one text. Ties don't occur:
-the rank is total. A very long text is cut in blocks of bounded size; its units are rows, never one array in a fold. Columns of
-documents are never renamed, and none of theirs can clash with this module's. An empty table gives no rows.
+the rank is total. A very long text is cut in blocks of bounded size; its units are rows, never one array in a fold. A unit that
+very many texts have is sorted in one task, which spills beyond its memory. Columns of documents are never renamed, and none of
+theirs can clash with this module's. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cliquora.llm.common import durable
-
 #: One in CUT pairs of words ends a unit. Characters of a text that are cut at a time.
-CUT, BLOCK = 8, 1 << 20
+CUT, BLOCK = 5, 1 << 20
 
 SEED = 42
 UNITS = "key {kind}, copy long, start array<long>, end array<long>, words array<int>, high array<long>, low array<long>"
@@ -112,13 +112,13 @@ def units(documents: DataFrame, key: str = "doc_id", text: str = "text", cut: in
 
 def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 1, cut: int = CUT) -> DataFrame:
     """A row for each span that goes: key, copy (the text's hash), start, end, words, keeper (the key of the text that keeps the span's first unit)."""
-    rank = F.struct(F.col("key").isNull().alias("none"), "key", "copy", "unit")
-    # the units are cut twice: that is cheaper than to write them
-    cut_once = units(documents, key, text, cut)
-    # written, so that both sides of the join are shuffled for it and Spark can split the lines that a third of the texts have
-    firsts = durable(cut_once.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    repeats = units(documents, key, text, cut).join(firsts, ["high", "low"]).where(~rank.eqNullSafe(F.col("first")))
-    repeats = repeats.select("key", "copy", "unit", "start", "end", "words", F.col("first.key").alias("keeper")).dropDuplicates(["key", "copy", "unit"])
+    each = units(documents, key, text, cut).withColumn("none", F.col("key").isNull())
+    rank = F.struct("none", "key", "copy", "unit")
+    ranked = W.partitionBy("high", "low").orderBy("none", "key", "copy", "unit").rowsBetween(W.unboundedPreceding, W.currentRow)
+    repeats = each.withColumn("first", F.first(rank).over(ranked)).where(~rank.eqNullSafe(F.col("first")))
+    # one shuffle by text serves both the repeated rows and the runs
+    repeats = repeats.select("key", "copy", "unit", "start", "end", "words", F.col("first.key").alias("keeper")).repartition("key", "copy")
+    repeats = repeats.dropDuplicates(["key", "copy", "unit"])
     # units that follow one another have the same number less their place among the text's repeats
     place = F.row_number().over(W.partitionBy("key", "copy").orderBy("unit"))
     runs = repeats.withColumn("run", F.col("unit") - place).groupBy("key", "copy", "run").agg(

@@ -92,6 +92,15 @@ def test_passages_within_lines_are_found(spark):
         assert all(passages[k - 30].lower().find(texts[k][a:b].lower()) >= 0 for a, b, *_ in v)
 
 
+def test_passages_of_50_words_are_caught(spark):
+    r = random.Random(8)
+    passages = [prose(r.randint(50, 59), r) for _ in range(300)]
+    texts = [f"{prose(r.randint(1, 90), r)} {p} {prose(r.randint(1, 90), r)}" for _ in range(2) for p in passages]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, prose(200, r)) for i in range(50)]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"), min_words=queries.PASSAGE)
+    assert len(got) >= 291 and all(300 <= k < 600 for k in got)
+
+
 def test_removal(spark):
     r = random.Random(3)
     passage, other = prose(60, r), prose(30, r) + "\n\n" + prose(30, r)
