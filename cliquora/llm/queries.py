@@ -1,11 +1,11 @@
-"""The ten registered queries, each over its whole table, and their SQL where SQL can express them."""
+"""The registered queries, each over its whole table, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliquora.llm import html_extraction, media_columns, mixing, packing, quality_rules, secret_scans, simhash, substring_dedup, toxicity, url_filters
+from cliquora.llm import embedding_dedup, html_extraction, media_columns, merkle, mixing, packing, quality_rules, ranked_search, secret_scans, simhash, substring_dedup, toxicity, url_filters
 from cliquora.llm.common import durable, table
 
 
@@ -79,5 +79,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_media_columns, op3_secret_scans, op4_toxicity, op5_mixing, op6_url_filters, op7_html_extraction, op8_substring_dedup, op9_packing, op10_simhash)}
-ORACLES = {"op5_mixing": mixing.ORACLE, "op6_url_filters": url_filters.ORACLE}
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.leaves(table(spark, sf_dir, "documents"), merkle.tampered_text()))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_media_columns, op3_secret_scans, op4_toxicity, op5_mixing, op6_url_filters, op7_html_extraction, op8_substring_dedup, op9_packing, op10_simhash, op11_embedding_dedup, op12_merkle_manifest, op13_ranked_search)}
+ORACLES = {"op5_mixing": mixing.ORACLE, "op6_url_filters": url_filters.ORACLE, "op11_embedding_dedup": embedding_dedup.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
