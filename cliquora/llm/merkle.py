@@ -102,31 +102,34 @@ def split_at(sizes: list[int], most: int) -> int:
     return level
 
 
+#: Twice the group's size: a level's codes are this far apart.
+STEP = 2 * GROUP
+#: How many levels below the root a tree of n leaves has.
+HEIGHT = f"size(filter(sequence(0, 20), l -> shiftleft(1L, {BITS} * l) < {{n}}))"
+
+
 def coordinates(trees: int) -> Column:
     """Where a leaf's siblings stand, of all levels of its tree and of the tree above: an array of (code, tree, level, pos).
 
-    code counts levels up to the root, GROUP apart, plus the place in the group, so that it orders the siblings.
+    code: STEP for each level up to the root, plus the place in the group, plus GROUP right of the leaf's own node. It orders the
+    siblings, and tells level and side.
     """
-    steps = lambda n: f"filter(sequence(0, 20), l -> shiftleft(1L, {BITS} * l) < {n})"  # noqa: E731  levels that have siblings or a parent
 
-    def run(tree: str, pos: str, n: str, before: str) -> str:
+    def run(tree: str, pos: str, n: str, height: str, before: str) -> str:
         own = f"shiftright({pos}, {BITS} * l)"
         first, last = f"shiftleft(shiftright({own}, {BITS}), {BITS})", f"shiftright({n} - 1, {BITS} * l)"
         places = f"filter(sequence({first}, least({first} + {GROUP - 1}, {last})), p -> p != {own})"
-        return f"flatten(transform({steps(n)}, l -> transform({places}, p -> named_struct('code', cast({GROUP} * (l + {before}) + p % {GROUP} as int), 'tree', {tree}, 'level', l, 'pos', p))))"
+        code = f"cast({STEP} * (l + {before}) + p % {GROUP} + if(p > {own}, {GROUP}, 0) as int)"
+        return f"flatten(transform(slice(sequence(0, {height}), 1, {height}), l -> transform({places}, p -> named_struct('code', {code}, 'tree', {tree}, 'level', l, 'pos', p))))"
 
-    height = f"size({steps('n')})"
-    return F.expr(f"concat({run('tree', 'pos', 'n', '0')}, {run(f'{TOP}L', 'tree', f'{trees}L', height)})")
+    return F.expr(f"concat({run('tree', 'pos', 'n', 'height', '0')}, {run(f'{TOP}L', 'tree', f'{trees}L', 'above', 'height')})")
 
 
-def folded(trees: int) -> Column:
-    """The root that a leaf's digest `found` and its siblings (code, digest) give."""
-    height = f"size(filter(sequence(0, 20), l -> shiftleft(1L, {BITS} * l) < n))"
-    above = f"size(filter(sequence(0, 20), l -> shiftleft(1L, {BITS} * l) < {trees}L))"
-    own = f"if(s < {height}, shiftright(pos, {BITS} * s), shiftright(tree, {BITS} * (s - {height}))) % {GROUP}"
-    side = lambda test: f"array_join(transform(filter(siblings, x -> {test}), x -> lower(hex(x.digest))), '')"
-    left, right = side(f"x.code >= {GROUP} * s and x.code < {GROUP} * s + {own}"), side(f"x.code > {GROUP} * s + {own} and x.code < {GROUP} * (s + 1)")
-    return F.expr(f"aggregate(slice(sequence(0, {height} + {above}), 1, {height} + {above}), found, (node, s) -> sha2(concat({left}, node, {right}), 256))")
+def folded() -> Column:
+    """The root that a leaf's digest `found` and its siblings (code, hex) give, over height + above levels."""
+    side = lambda first: f"array_join(transform(filter(siblings, x -> x.code >= {first} and x.code < {first} + {GROUP}), x -> x.hex), '')"
+    steps = "slice(sequence(0, height + above), 1, height + above)"
+    return F.expr(f"aggregate({steps}, found, (node, s) -> sha2(concat({side(f'{STEP} * s')}, node, {side(f'{STEP} * s + {GROUP}')}), 256))")
 
 
 def manifest(own: DataFrame, high: int = HIGH) -> DataFrame:
@@ -134,7 +137,7 @@ def manifest(own: DataFrame, high: int = HIGH) -> DataFrame:
 
     high: nodes that are sent to all tasks at most, of the languages' trees and of the tree above each.
     """
-    rows = durable(placed(own))
+    rows = durable(placed(own).withColumn("height", F.expr(HEIGHT.format(n="n"))))
     most = rows.agg(F.max("n")).first()[0]
     if most is None:
         return rows.select("doc_id", "leaf", *[F.lit("").alias(c) for c in ("subroot", "root", "proof_sha256", "folded_root")], F.lit(True).alias("verified"))
@@ -143,6 +146,7 @@ def manifest(own: DataFrame, high: int = HIGH) -> DataFrame:
     trees = subroots.count()
     above, roots, top_sizes = built(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(trees).cast("long").alias("n"), "digest"), trees)
     root = roots.select(F.lower(F.hex("digest"))).first()[0]
+    rows = rows.withColumn("above", F.expr(HEIGHT.format(n=f"{trees}L")))
     low, top_low = split_at(sizes, high), split_at(top_sizes, high)
     is_low = ((F.col("tree") != TOP) & (F.col("level") < low)) | ((F.col("tree") == TOP) & (F.col("level") < top_low))
     nodes = nodes.unionByName(above)
@@ -155,9 +159,10 @@ def manifest(own: DataFrame, high: int = HIGH) -> DataFrame:
     proofs = found.groupBy(F.col("tree_").alias("tree"), F.col("pos_").alias("pos")).agg(F.sort_array(F.collect_list("sibling")).alias("siblings"))
     own_root = subroots.select("tree", F.lower(F.hex("digest")).alias("subroot"))
     out = rows.join(proofs, ["tree", "pos"], "left").join(sized(own_root), "tree")
-    out = out.withColumn("siblings", F.coalesce("siblings", F.array().cast(proofs.schema["siblings"].dataType)))
-    proof = F.sha2(F.array_join(F.transform("siblings", lambda x: F.lower(F.hex(x["digest"]))), ""), 256)
-    out = out.select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), proof.alias("proof_sha256"), folded(trees).alias("folded_root"))
+    coded = F.transform("siblings", lambda x: F.struct(x["code"].alias("code"), F.lower(F.hex(x["digest"])).alias("hex")))
+    out = out.withColumn("siblings", F.coalesce(coded, F.array().cast("array<struct<code:int,hex:string>>")))
+    proof = F.sha2(F.array_join(F.transform("siblings", lambda x: x["hex"]), ""), 256)
+    out = out.select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), proof.alias("proof_sha256"), folded().alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
