@@ -138,6 +138,7 @@ QUERIES = {
     "incidence": on_orders(lambda k: k.incidence()),
     "incidence_matrix": on_nations(lambda k: vectors.incidence_matrix(k, list(range(25))).withColumnsRenamed({str(v): f"v{v}" for v in range(25)})),
     "shared_faces": on_suppliers(pairs.shared_faces),
+    "overlaps": on_suppliers(lambda k: pairs.overlaps(k, 3)),
     "connectivity": on_suppliers(pairs.connectivity),
     "connectivity_dense": on_nations(lambda k: pairs.connectivity(k, dense=True)),
     "eccentricity": on_suppliers(lambda k: digits(pairs.eccentricity(k))),
@@ -171,6 +172,7 @@ QUERIES = {
     "suppliers_fsv": on_suppliers(vectors.first_structure_vector),
     "suppliers_tsv": on_suppliers(lambda k: digits(vectors.third_structure_vector(k))),
     "suppliers_components": on_suppliers(components.q_components),
+    "suppliers_components_at": on_suppliers(lambda k: components.components_at(k, 2)),
     "adjacency": lambda s, d: SimplicialComplex.from_adjacency(views.adjacency_rows(s, d)).simplices.select("sid", joined("members").alias("members")),
     "edge_rows": lambda s, d: diagram(persistence.of_edge_rows(views.nation_distances(s, d).select(F.col("u").cast("double"), F.col("v").cast("double"), "w"), 1)),
     "edge_pairs": lambda s, d: matrices.edges_of_pairs(views.read(s, d, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"))).drop("complex_id"),
@@ -185,6 +187,7 @@ QUERIES = {
     "absorbed": lambda s, d: cliques.without_absorbed(views.star_complexes(s, d).simplices).select("complex_id", "sid", joined("members").alias("members")),
     "union_of_rows": union_of_stars,
     "persistence_suppliers": lambda s, d: diagram(persistence.persistent_communities(views.supplier_neighbours(s, d))),
+    "persistence_ranges": lambda s, d: diagram(persistence.dense(views.supplier_neighbours(s, d), 128).withColumn("size", F.size("members"))),
     "diagram_access": lambda s, d: persistence.Diagram(persistence.persistent_communities(views.nation_distances(s, d), 1)).numbered().withColumn("members", joined("members")),
     "projection_rows": on_nations(lambda k: ensemble.projection_rows(k, 2, weighted=True).withColumn("row", joined("row"))),
     "component_labels": on_nations(lambda k: ml.QComponents(q=1).transform(k.simplices)),

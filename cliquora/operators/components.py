@@ -1,9 +1,13 @@
-"""q-connected components for all q at once.
+"""q-connected components for all q at once, from one merge tree of each complex.
 
-Simplices that share q + 1 vertices are linked at every level up to q. A spanning forest of the pairs with the largest
-intersections has the components of every level, so one reduction answers all: each task keeps the forest of its own pairs,
-then each complex's forests are merged. A complex of more than FOREST simplices doesn't fit one task's merge; its levels are
-labelled by alternating stars, which only join and aggregate.
+Simplices that share q + 1 vertices are linked at every level up to q. Components merge in rounds: each takes its best link (of the most
+shared vertices, ties by the simplices' ids), the links chosen form trees, and each tree is one component of the next round. A round at
+least halves the components that have links, joins and aggregates only, and no task holds a complex.
+
+The rounds answer every level. Along the chosen links the number of shared vertices doesn't fall, and no link that leaves a tree shares
+more than the best link of the simplex where it starts. So at level q a component whose best link holds there (shares more than q
+vertices) is connected with its whole tree's root, and one whose best link doesn't is complete: what holds at q of the simplices
+below it is one component. A simplex climbs the rounds, and the least best link on its way tells at which levels it stops where.
 """
 
 from __future__ import annotations
@@ -14,10 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliquora.operators.durable import durable
-from cliquora.operators.pairs import pairs
+from cliquora.operators.durable import MAX_BROADCAST, durable, looped
+from cliquora.operators.pairs import overlaps, pairs
 
-FOREST, FAN = 500_000, 8
 ROUNDS = 60
 
 
@@ -70,25 +73,59 @@ def own_forests(found: DataFrame) -> DataFrame:
     return found.mapInPandas(partly, found.schema)
 
 
-def forest(found: DataFrame) -> DataFrame:
-    """(complex_id, i, j, shared): of pairs, at most one row less than simplices. A task never has more than FAN forests of a complex."""
-    schema = found.select("complex_id", "i", "j", "shared").schema
-    out = own_forests(found)
-    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = []
-    while tasks > FAN:
-        tasks = -(-tasks // FAN)
-        groups.append(tasks)
-    for n in groups:
-        part = F.pmod(F.spark_partition_id(), F.lit(n))
-        out = out.withColumn("part", part).groupBy("complex_id", "part").applyInPandas(lambda pdf: thinned(pdf.drop(columns="part")), schema)
-    return out.groupBy("complex_id").applyInPandas(thinned, schema)
+def roots_of(chosen: DataFrame, near) -> DataFrame:
+    """(complex_id, node, shared, root) of chosen links (complex_id, node, to, shared): pointers are doubled until all stand at a root.
+
+    Of two nodes that chose each other, the lesser is the root. near: a hint for the joined side.
+    """
+    back = near(chosen.select("complex_id", F.col("node").alias("to"), F.col("to").alias("back")))
+    root = F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("to")), F.col("node")).otherwise(F.col("to"))
+    up = chosen.join(back, ["complex_id", "to"]).select("complex_id", "node", "shared", root.alias("root"))
+
+    def doubled(up: DataFrame) -> DataFrame:
+        above = near(up.select("complex_id", F.col("node").alias("root"), F.col("root").alias("next")))
+        return up.join(above, ["complex_id", "root"]).select("complex_id", "node", "shared", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+
+    for _ in range(ROUNDS):
+        up = looped(doubled(doubled(up)))
+        moved = not up.where("moved").isEmpty()
+        up = up.drop("moved")
+        if not moved:
+            return up
+    raise ValueError("the pointers do not settle")
+
 
+def merge_tree(found: DataFrame) -> list[DataFrame]:
+    """The rounds of pairs (complex_id, i, j, shared), each (complex_id, node, shared, root): a component's best link and its tree's root.
 
-def is_large(k) -> bool:
-    """Whether a complex has too many simplices to merge its forests in one task."""
-    most = k.dims().where("dim >= 0").groupBy("complex_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return (most or 0) > FOREST
+    Components that have no link in a round have no row. Nodes other than their root are links of a spanning forest. Rounds of few
+    rows come with a hint to send them to all tasks.
+    """
+    at = F.struct("shared", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))  # no two links are equal in this order
+    links = looped(own_forests(found).select("complex_id", F.col("i").alias("a"), F.col("j").alias("b"), at.alias("at")))
+    rounds: list[DataFrame] = []
+    while n := links.count():
+        if len(rounds) > ROUNDS:
+            raise ValueError("the components do not settle")
+        near = F.broadcast if 2 * n <= MAX_BROADCAST else lambda rows: rows  # a link has two ends, so there are no more nodes
+        both = links.unionByName(links.select("complex_id", F.col("b").alias("a"), F.col("a").alias("b"), "at"))
+        best = both.groupBy("complex_id", "a").agg(F.max(F.struct("at", "b")).alias("best"))
+        up = near(roots_of(looped(best.select("complex_id", F.col("a").alias("node"), F.col("best.b").alias("to"), F.col("best.at.shared").alias("shared"))), near))
+        rounds.append(up)
+        name = lambda end: near(up.select("complex_id", F.col("node").alias(end), F.col("root").alias(f"{end}_")))  # noqa: B023, E731
+        links = links.join(name("a"), ["complex_id", "a"]).join(name("b"), ["complex_id", "b"]).where("a_ <> b_")
+        links = looped(links.groupBy("complex_id", F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).agg(F.max("at").alias("at")))
+    return rounds
+
+
+def merges(found: DataFrame) -> DataFrame:
+    """(complex_id, q, n): how many links of the spanning forest share exactly q + 1 vertices."""
+    rounds = merge_tree(found)
+    none = found.select("complex_id", F.lit(0).alias("q"), F.lit(0).cast("long").alias("n")).where("false")
+    out = none.select("complex_id", "q")
+    for up in rounds:
+        out = out.unionByName(up.where("node <> root").select("complex_id", (F.col("shared") - 1).cast("int").alias("q")))
+    return out.groupBy("complex_id", "q").agg(F.count("*").alias("n"))
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -111,49 +148,43 @@ def stars(edges: DataFrame) -> DataFrame:
     return least.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def q_components(k, method: str | None = None) -> DataFrame:
-    """(complex_id, q, sid, component): component is the least sid of its simplices. method: forest, stars or None (by size)."""
-    dims = k.dims().where("dim >= 0")
-    if method is None:
-        method = "stars" if is_large(k) else "forest"
-    found = pairs(k)
-    if method == "stars":
-        node = lambda s: F.struct("complex_id", "q", F.col(s).alias("sid"))
-        at = own_forests(found).withColumn("q", F.explode(F.sequence(F.lit(0), (F.col("shared") - 1).cast("int"))))
-        roots = stars(at.select(node("i").alias("a"), node("j").alias("b"))).select("node.*", F.col("root.sid").alias("root"))
-        rows = dims.select("complex_id", "sid", F.explode(F.sequence(F.lit(0), F.col("dim"))).alias("q"))
-        return rows.join(roots, ["complex_id", "q", "sid"], "left").select("complex_id", "q", "sid", F.coalesce("root", "sid").alias("component"))
-    kind = k.simplices.schema["complex_id"].dataType.simpleString()
-
-    def labelled(simplices: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        sets, out = Union(), []
-        if not len(simplices):
-            return pd.DataFrame({"complex_id": [], "q": [], "sid": [], "component": []})
-        own = simplices.sort_values("sid")
-        links = links.sort_values("shared", ascending=False)
-        rows = list(zip(links["shared"], links["i"], links["j"], strict=True))
-        at = 0
-        for q in range(int(own["dim"].max()), -1, -1):
-            while at < len(rows) and rows[at][0] > q:
-                sets.join(*rows[at][1:])
-                at += 1
-            for sid in own["sid"][own["dim"] >= q]:
-                out.append((q, sid, sets.root(sid)))
-        q, sid, component = zip(*out, strict=True)
-        return pd.DataFrame({"complex_id": own["complex_id"].iloc[0], "q": q, "sid": sid, "component": component})
-
-    cogrouped = dims.groupBy("complex_id").cogroup(forest(found).groupBy("complex_id"))
-    return cogrouped.applyInPandas(labelled, f"complex_id {kind}, q int, sid long, component long")
+def q_components(k, found: DataFrame | None = None) -> DataFrame:
+    """(complex_id, q, sid, component): component is the least sid of its simplices. found: the pairs of k, if they are there."""
+    rounds = merge_tree(pairs(k) if found is None else found)
+    # where each simplex stands, the levels below `open` at which it goes on, and the stops: node and levels
+    none = F.array().cast("array<struct<node:bigint,first:bigint,last:bigint,round:int>>")
+    rows = k.dims().where("dim >= 0").select("complex_id", "sid", F.col("sid").cast("long").alias("node"), (F.col("dim") + 1).cast("long").alias("open"), none.alias("stops"))
+    stop = lambda first, n: F.struct("node", first.cast("long").alias("first"), (F.col("open") - 1).alias("last"), F.lit(n).alias("round"))
+    for n, up in enumerate(rounds):
+        shared = F.coalesce("shared", F.lit(0))
+        rows = rows.join(up, ["complex_id", "node"], "left")
+        stops = F.when(shared < F.col("open"), F.array_append("stops", stop(shared, n))).otherwise(F.col("stops"))
+        rows = rows.select("complex_id", "sid", F.coalesce("root", "node").alias("node"), F.least("open", shared).alias("open"), stops.alias("stops"))
+    last = F.when(F.col("open") > 0, F.array_append("stops", stop(F.lit(0), len(rounds)))).otherwise(F.col("stops"))
+    stopped = rows.select("complex_id", "sid", F.explode(last).alias("x")).select("complex_id", "sid", "x.node", "x.round", F.explode(F.sequence("x.first", "x.last")).alias("q"))
+    stopped = stopped.withColumn("q", F.col("q").cast("int"))
+    alone = stopped.where("round = 0").select("complex_id", "q", "sid", F.col("sid").alias("component"))
+    if not rounds:
+        return alone
+    met = durable(stopped.where("round > 0").drop("round"))
+    least = met.groupBy("complex_id", "q", "node").agg(F.min("sid").alias("component"))
+    return alone.unionByName(met.join(least, ["complex_id", "q", "node"]).select("complex_id", "q", "sid", "component"))
 
 
 def components_at(k, q: int) -> DataFrame:
-    """(complex_id, sid, component) at one q; IndexError below 0 and above the order of every complex."""
+    """(complex_id, sid, component) at one q; IndexError below 0 and above the order of every complex.
+
+    Only pairs that share more than q vertices are looked for (`overlaps`), and only those are linked.
+    """
     from cliquora.operators.vectors import order
 
     top = order(k).agg(F.max("value")).first()[0]
     if q < 0 or top is None or q > top:
         raise IndexError(f"no level {q}")
-    return q_components(k).where(F.col("q") == q).drop("q")
+    node = lambda s: F.struct("complex_id", F.col(s).alias("sid"))
+    roots = stars(overlaps(k, q + 1).select(node("i").alias("a"), node("j").alias("b"))).select("node.*", F.col("root.sid").alias("root"))
+    rows = k.dims().where(F.col("dim") >= q).select("complex_id", "sid")
+    return rows.join(roots, ["complex_id", "sid"], "left").select("complex_id", "sid", F.coalesce("root", "sid").alias("component"))
 
 
 def component_vertices(k) -> DataFrame:

@@ -23,15 +23,43 @@ def pairs(k, heavy: int = HEAVY) -> DataFrame:
     join = ["complex_id", "vertex"]
     a, b = incidence.withColumnRenamed("sid", "i"), incidence.withColumnRenamed("sid", "j")
     if not degrees.isEmpty():
-        blocks = degrees.select(*join, F.ceil(F.col("n") / heavy).cast("int").alias("blocks"))
-        every = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
-        block = lambda s: F.pmod(F.xxhash64(s), F.coalesce("blocks", F.lit(1))).cast("int")
-        a = a.join(blocks, join, "left").select(*join, "i", block("i").alias("bi"), F.explode(every).alias("bj"))
-        b = b.join(blocks, join, "left").select(*join, "j", block("j").alias("bj"), F.explode(every).alias("bi"))
-        join = [*join, "bi", "bj"]
+        a, b, join = dealt(a, b, degrees.select(*join, F.ceil(F.col("n") / heavy).cast("int").alias("blocks")), join)
     return a.join(b, join).where("i < j").groupBy("complex_id", "i", "j").agg(F.count("*").alias("shared"))
 
 
+def dealt(a: DataFrame, b: DataFrame, blocks: DataFrame, join: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join of i and j, and its keys, where a key with `blocks` is dealt to pairs of so many blocks."""
+    every = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+    block = lambda s: F.pmod(F.xxhash64(s), F.coalesce("blocks", F.lit(1))).cast("int")
+    a = a.join(blocks, join, "left").select(*a.columns, block("i").alias("bi"), F.explode(every).alias("bj"))
+    b = b.join(blocks, join, "left").select(*b.columns, block("j").alias("bj"), F.explode(every).alias("bi"))
+    return a, b, [*join, "bi", "bj"]
+
+
+def overlaps(k, least: int, heavy: int = HEAVY) -> DataFrame:
+    """(complex_id, i, j, shared) of the pairs that share `least` vertices or more, without forming the others.
+
+    Vertices are ranked from rare to frequent in their complex. Of two simplices that share `least` vertices, each must have one of them
+    among its first size - least + 1 vertices in that order: only these prefixes meet, and a pair is met once, at the first vertex that
+    both prefixes have. Simplices below `least` vertices are left out. What meets is verified on the whole simplices.
+    """
+    rows = k.simplices.where(F.size("members") >= least)
+    incidence = rows.select("complex_id", "sid", F.explode("members").alias("vertex"))
+    counts = incidence.groupBy("complex_id", "vertex").agg(F.count("*").alias("n"))
+    ordered = incidence.join(counts, ["complex_id", "vertex"]).groupBy("complex_id", "sid").agg(F.sort_array(F.collect_list(F.struct("n", "vertex"))).alias("ranked"))
+    prefix = ordered.select("complex_id", "sid", F.explode(F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - (least - 1), F.lit(1)))).alias("x"))
+    prefix = durable(prefix.select("complex_id", "sid", "x.vertex", "x.n"))
+    join = ["complex_id", "vertex"]
+    a, b = prefix.select(*join, F.col("sid").alias("i"), "n"), prefix.select(*join, F.col("sid").alias("j"))
+    crowded = durable(prefix.groupBy(*join).agg(F.count("*").alias("here")).where(F.col("here") > heavy))
+    if not crowded.isEmpty():
+        a, b, join = dealt(a, b, crowded.select(*join, F.ceil(F.col("here") / heavy).cast("int").alias("blocks")), join)
+    met = a.join(b, join).where("i < j").select("complex_id", "i", "j").distinct()
+    whole = lambda s, m: rows.select("complex_id", F.col("sid").alias(s), F.col("members").alias(m))
+    both = met.join(whole("i", "mi"), ["complex_id", "i"]).join(whole("j", "mj"), ["complex_id", "j"])
+    return both.select("complex_id", "i", "j", F.size(F.array_intersect("mi", "mj")).cast("long").alias("shared")).where(F.col("shared") >= least)
+
+
 def shared_faces(k, found: DataFrame | None = None) -> DataFrame:
     """(complex_id, q, value): pairs of simplices whose intersection has exactly q + 1 vertices, for q up to the order."""
     from cliquora.operators.vectors import levels

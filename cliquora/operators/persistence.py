@@ -7,9 +7,13 @@ born with their lightest edge), and the links are the (q+2)-cliques, each joinin
 maximal cliques: within a clique any two (q+1)-subsets are joined by swapping one vertex at a time. Cliques come from joins, links
 are thinned to a spanning forest in each task, and a level of a graph is one group: it sweeps its thresholds once.
 
-`dense` (no max_q: all levels): the number of cliques would explode, so only maximal ones are held. A graph is one task, as each
-threshold's cliques follow from those before; graphs run in parallel. Weights rise once: an edge's new maximal cliques are searched
-among the common neighbours of its ends, compared with those that there are (numpy, on bit sets), and join their communities.
+`dense` (no max_q: all levels): the number of cliques would explode, so only maximal ones are held. A graph's weights are cut into
+ranges of about RANGE edges, each a task of its own. It builds the graph of all lighter edges, finds its maximal cliques and their
+communities at every level, and lets the weights of its range rise once: an edge's new maximal cliques are searched among the common
+neighbours of its ends, compared with those that there are (numpy, on bit sets), and join their communities. Two tasks number the
+communities at the border between their ranges alike (by level and least clique). What came before a range is older than all that is
+born in it, so a task settles by itself what becomes of its own; communities from before that merge leave rows (what merged, into
+what), and so do those that reach the next range. Births then go up these rows, by doubled pointers, and tell who has lived on.
 
 Edges are cleaned first (finite, no loops, the lightest of duplicates); equal weights are one step. A community's members are the
 union of its cliques' vertices. When communities merge, the one born first lives on, then the larger, then the one of smaller
@@ -28,10 +32,14 @@ from pyspark.sql import functions as F
 
 from cliquora.operators.cliques import k_cliques
 from cliquora.operators.components import Union
-from cliquora.operators.durable import durable
+from cliquora.operators.durable import durable, looped
 from cliquora.sources.matrices import clean_edges, edges_of_distances, edges_of_rows
 
 INF = float("inf")
+#: Stands for the birth of what was born before a range of weights.
+BEFORE = -INF
+#: Edges that a task lets rise, and the most borders between such ranges in a graph; a node's number has the range above so many bits.
+RANGE, CUTS, NODE = 512, 63, 40
 
 
 def elder(candidates: list[tuple[float, list[int]]]) -> int:
@@ -122,10 +130,10 @@ def bits(x: int) -> list[int]:
     return out
 
 
-def around(near: list[int], u: int, v: int) -> list[int]:
-    """The maximal cliques that have the edge u-v, as bits. near: each vertex's neighbours, as bits."""
+def grown(near: list[int], clique: int, candidates: int, done: int) -> list[int]:
+    """The maximal cliques, as bits, of a clique with some of the candidates and none of the done. near: each vertex's neighbours, as bits."""
     found = []
-    stack = [(1 << u | 1 << v, near[u] & near[v], 0)]
+    stack = [(clique, candidates, done)]
     while stack:
         clique, candidates, done = stack.pop()
         if not candidates:
@@ -153,6 +161,11 @@ def around(near: list[int], u: int, v: int) -> list[int]:
     return found
 
 
+def around(near: list[int], u: int, v: int) -> list[int]:
+    """The maximal cliques that have the edge u-v."""
+    return grown(near, 1 << u | 1 << v, near[u] & near[v], 0)
+
+
 def grouped(meets: np.ndarray, homes: np.ndarray, n_old: int) -> np.ndarray:
     """The group of each node: n_old communities, then the new cliques (one row of meets each). homes: the node of each column.
 
@@ -188,6 +201,54 @@ class Sweep:
         self.communities: list[dict[int, tuple[float, int]]] = []  # at each level: number -> birth, members
         self.next = 0
         self.out: list[tuple[int, float, float, list[int]]] = []
+        self.joined: list[tuple[int, int, float, int, int]] = []  # of communities from before: number, level, when they merged, members, into what
+
+    def start(self, edges: list[tuple[int, int]]) -> None:
+        """The graph of these edges: its maximal cliques, their communities, numbered in canonical order and born before all others."""
+        for u, v in edges:
+            self.near[u] |= 1 << v
+            self.near[v] |= 1 << u
+        for v, own in enumerate(self.near):
+            if own:
+                later = own >> (v + 1) << (v + 1)
+                self.alive += grown(self.near, 1 << v, later, own ^ later)
+        self.rows = packed(self.alive, self.words)
+        sizes = self.sizes()
+        self.homes = np.full((len(self.alive), int(sizes.max(initial=0))), -1, np.int64)
+        for i in range(len(self.alive)):
+            shared = np.bitwise_count(self.rows[:i] & self.rows[i]).sum(axis=1)
+            for q in range(int(sizes[i])):
+                column = self.homes[:i, q]
+                met = np.unique(column[shared > q])
+                self.homes[i, q] = i
+                if len(met):
+                    column[np.isin(column, met)] = i
+        every = self.canonical()
+        self.communities = [{} for _ in range(self.homes.shape[1])]
+        homes = np.full_like(self.homes, -1)
+        for number, (q, old) in enumerate(every):
+            own = np.flatnonzero(self.homes[:, q] == old)
+            homes[own, q] = number
+            members = 0
+            for i in own.tolist():
+                members |= self.alive[i]
+            self.communities[q][number] = BEFORE, members
+        self.homes, self.next = homes, len(every)
+
+    def sizes(self) -> np.ndarray:
+        return np.bitwise_count(self.rows).sum(axis=1, dtype=np.int64)
+
+    def canonical(self) -> list[tuple[int, int]]:
+        """(level, number) of all communities, by level and by the least of their cliques: alike in every task that has this graph."""
+        places = {c: i for i, c in enumerate(sorted(self.alive, key=bits))}
+        at, sizes, out = np.array([places[c] for c in self.alive], np.int64), self.sizes(), []
+        for q in range(int(sizes.max(initial=0))):
+            own = np.flatnonzero(sizes > q)
+            numbers, where = np.unique(self.homes[own, q], return_inverse=True)
+            least = np.full(len(numbers), len(places))
+            np.minimum.at(least, where, at[own])
+            out += [(q, int(numbers[i])) for i in np.argsort(least)]
+        return out
 
     def step(self, t: float, edges: list[tuple[int, int]]) -> None:
         near, born, ended = self.near, [], set()
@@ -245,16 +306,20 @@ class Sweep:
                 members |= born[i]
             if old:
                 parts = [(int(numbers[i]), *found.pop(int(numbers[i]))) for i in old]
-                if len(parts) > 1:
-                    ranked = [(birth, bits(m)) for _, birth, m in parts]
-                    first = elder(ranked)
-                    self.out += [(q, birth, t, m) for i, (birth, m) in enumerate(ranked) if i != first]
+                before = [p for p in parts if p[1] == BEFORE]
+                if len(before) > 1:  # who of them is the eldest is told by what came before
+                    number, birth = self.next, BEFORE
+                    self.next += 1
+                    self.joined += [(p, q, t, m, number) for p, _, m in before]
+                    self.out += [(q, b, t, bits(m)) for _, b, m in parts if b != BEFORE]
                 else:
-                    first = 0
-                number, birth = parts[first][:2]
+                    ranked = [(b, bits(m)) for _, b, m in parts] if len(parts) > 1 else []
+                    first = elder(ranked) if ranked else 0
+                    self.out += [(q, b, t, m) for i, (b, m) in enumerate(ranked) if i != first]
+                    number, birth = parts[first][:2]
                 for _, _, m in parts:
                     members |= m
-                gone = [p[0] for i, p in enumerate(parts) if i != first]
+                gone = [p[0] for p in parts if p[0] != number]
                 if gone:
                     column = homes[:n_before, q]
                     column[np.isin(column, gone)] = number
@@ -264,31 +329,95 @@ class Sweep:
             found[number] = birth, members
             homes[[n_before + i for i in fresh], q] = number
 
-    def intervals(self) -> list[tuple[int, float, float, list[int]]]:
-        return self.out + [(q, birth, INF, bits(m)) for q, own in enumerate(self.communities) for birth, m in own.values()]
-
-
-def swept(edges: list[tuple[int, int, float]]) -> list[tuple[int, float, float, list[int]]]:
-    """(q, birth, death, members) of one graph's weighted edges, at all levels."""
-    names = sorted({x for u, v, _ in edges for x in (u, v)})
+    def rows_of(self, at: int, last: bool) -> list[tuple[int | None, int | None, int, float | None, float | None, list[int] | None]]:
+        """(node, up, q, birth, death, members) of range `at`: settled intervals without a node, and what the other ranges settle.
+
+        node: a community from before this range, or one that reaches the next; up: what it merges into, or is there.
+        """
+        here, there = at << NODE, (at + 1) << NODE
+        out = [(None, None, *r) for r in self.out]
+        out += [(here | i, here | up, q, None, t, bits(m)) for i, q, t, m, up in self.joined]
+        if last:
+            for q, own in enumerate(self.communities):
+                out += [(None, None, q, b, INF, bits(m)) if b != BEFORE else (here | i, None, q, None, INF, bits(m)) for i, (b, m) in own.items()]
+            return out
+        for place, (q, i) in enumerate(self.canonical()):
+            birth = self.communities[q][i][0]
+            out.append((here | i, there | place, q, None if birth == BEFORE else birth, None, None))
+        return out
+
+
+def swept_range(edges: list[tuple[int, int, float]], before: list[tuple[int, int]], at: int, last: bool) -> list[tuple]:
+    """(node, up, q, birth, death, members) of one range of a graph's weighted edges, at all levels; before: the lighter edges."""
+    names = sorted({x for e in (*edges, *before) for x in e[:2]})
     place = {x: i for i, x in enumerate(names)}
     steps: dict[float, list[tuple[int, int]]] = {}
     for u, v, w in edges:
         steps.setdefault(w, []).append((place[u], place[v]))
     sweep = Sweep(len(names))
+    if before:
+        sweep.start([(place[u], place[v]) for u, v in before])
     for t in sorted(steps):
         sweep.step(t, steps[t])
-    return [(q, birth, death, [names[i] for i in members]) for q, birth, death, members in sweep.intervals()]
+    return [(*r[:5], None if r[5] is None else [names[i] for i in r[5]]) for r in sweep.rows_of(at, last)]
 
 
-def dense(edges: DataFrame) -> DataFrame:
-    kind = edges.schema["complex_id"].dataType.simpleString()
+def swept(edges: list[tuple[int, int, float]]) -> list[tuple[int, float, float, list[int]]]:
+    """(q, birth, death, members) of one graph's weighted edges, at all levels."""
+    return [r[2:] for r in swept_range(edges, [], 0, True)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = swept(list(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["w"].tolist(), strict=True)))
-        return pd.DataFrame({"complex_id": pdf["complex_id"].iloc[0], "q": [r[0] for r in found], "birth": [r[1] for r in found], "death": [r[2] for r in found], "members": pd.Series([r[3] for r in found], dtype=object)})
 
-    return edges.groupBy("complex_id").applyInPandas(run, f"complex_id {kind}, q int, birth double, death double, members array<bigint>")
+def ranges(edges: DataFrame, at_most: int) -> DataFrame:
+    """Edges with `at`, the range of their weight, and `n`, the number of ranges: about at_most edges each, equal weights together.
+
+    The borders are quantiles, which tasks sketch before the shuffle; a graph has CUTS + 1 ranges at most.
+    """
+    cuts = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+    own = edges.groupBy("complex_id").agg(F.percentile_approx("w", cuts, 10_000).alias("cuts"), F.count("*").alias("edges"))
+    every = F.greatest(F.lit(1), F.floor((CUTS + 1) / F.ceil(F.col("edges") / at_most)).cast("int"))  # of the cuts one in so many is a border
+    borders = F.array_distinct(F.filter("cuts", lambda c, i: (i + 1) % F.col("every") == 0))
+    own = own.withColumn("every", every).select("complex_id", F.when(F.col("edges") > at_most, borders).otherwise(F.array().cast("array<double>")).alias("borders"))
+    rows = edges.join(own, "complex_id").withColumn("at", F.size(F.filter("borders", lambda b: b < F.col("w"))))
+    return rows.select("complex_id", "u", "v", "w", "at", (F.size("borders") + 1).alias("n"))
+
+
+def births(nodes: DataFrame) -> DataFrame:
+    """(complex_id, node, birth): the least birth of what has gone into each node, over rows (complex_id, node, up, birth)."""
+    rows = looped(nodes.select("complex_id", "node", "up", "birth"))
+    while not rows.where("up is not null").isEmpty():
+        given = rows.where("up is not null").groupBy("complex_id", F.col("up").alias("node")).agg(F.min("birth").alias("given"))
+        above = rows.select("complex_id", F.col("node").alias("up"), F.col("up").alias("above"))
+        rows = rows.join(given, ["complex_id", "node"], "left").join(above, ["complex_id", "up"], "left")
+        rows = looped(rows.select("complex_id", "node", F.col("above").alias("up"), F.least("birth", "given").alias("birth")))
+    return rows.drop("up")
+
+
+def dense(edges: DataFrame, at_most: int | None = None) -> DataFrame:
+    """The intervals of all levels. at_most: edges that a task lets rise, after all lighter ones (RANGE)."""
+    kind = edges.schema["complex_id"].dataType.simpleString()
+    rows = ranges(edges, RANGE if at_most is None else at_most)
+    rows = rows.withColumn("task", F.explode(F.sequence("at", F.col("n") - 1)))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["at"] == key[1]
+        ends = lambda part: zip(part["u"].tolist(), part["v"].tolist(), strict=True)
+        weights = pdf["w"][own].tolist()
+        found = swept_range([(u, v, w) for (u, v), w in zip(ends(pdf[own]), weights, strict=True)], list(ends(pdf[~own])), int(key[1]), bool(key[1] == pdf["n"].iloc[0] - 1))
+        node, up, q, birth, death, members = zip(*found, strict=True) if found else [()] * 6
+        whole = lambda x: pd.Series(x, dtype="Int64")
+        return pd.DataFrame({"complex_id": pd.Series([key[0]] * len(q), dtype=object), "node": whole(node), "up": whole(up), "q": q, "birth": pd.Series(birth, dtype="Float64"), "death": pd.Series(death, dtype="Float64"), "members": pd.Series(members, dtype=object)})
+
+    found = rows.groupBy("complex_id", "task").applyInPandas(run, f"complex_id {kind}, node long, up long, q int, birth double, death double, members array<bigint>")
+    found = durable(found)
+    settled = found.where("node is null").select("complex_id", "q", "birth", "death", "members")
+    nodes = found.where("node is not null")
+    if nodes.isEmpty():
+        return settled
+    ended = nodes.where("death is not null").drop("birth").join(births(nodes), ["complex_id", "node"])
+    # of those that merge at once the eldest lives on, under the name of what they merge into
+    place = F.row_number().over(W.partitionBy("complex_id", F.coalesce("up", -1 - F.col("node"))).orderBy("birth", F.size("members").desc(), "members"))
+    ended = ended.withColumn("place", place).where("place > 1 or up is null")
+    return settled.unionByName(ended.select("complex_id", "q", "birth", "death", "members"))
 
 
 def persistent_communities(edges: DataFrame, max_q: int | None = None, digits: int | None = None, statistics: Observation | None = None) -> DataFrame:

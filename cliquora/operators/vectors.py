@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cliquora.model import Report, SimplicialComplex, named_vectors
-from cliquora.operators.components import forest, is_large, q_components
+from cliquora.operators.components import merges
 from cliquora.operators.durable import durable
 from cliquora.operators.pairs import pairs, shared_faces
 
@@ -43,20 +43,16 @@ def second_structure_vector(k) -> DataFrame:
 
 def _merges(k, found: DataFrame | None = None) -> DataFrame:
     """Links of the spanning forest that hold at q: each makes one component less."""
-    n = forest(pairs(k) if found is None else found).groupBy("complex_id", (F.col("shared") - 1).cast("int").alias("q")).agg(F.count("*").alias("n"))
+    n = merges(pairs(k) if found is None else found)
     return at_least(levels(k).join(n, AT, "left").select(*AT, F.coalesce("n", F.lit(0)).alias("value")))
 
 
 def _structure(k, found: DataFrame | None = None) -> DataFrame:
-    """(complex_id, q, simplices, ssv, fsv, tsv): one forest answers all; of a large complex the components are counted."""
+    """(complex_id, q, simplices, ssv, fsv, tsv): one spanning forest answers all."""
     count = simplex_count(k).withColumnRenamed("value", "simplices")
     w = W.partitionBy("complex_id").orderBy(F.col("q").desc()).rowsBetween(W.unboundedPreceding, 0)
-    if is_large(k):
-        n = q_components(k, "stars").where("component = sid").groupBy(*AT).agg(F.count("*").alias("fsv"))
-        rows = count.withColumn("ssv", F.sum("simplices").over(w)).join(n, AT, "left").withColumn("fsv", F.coalesce("fsv", F.lit(0)))
-    else:
-        rows = count.join(_merges(k, found).withColumnRenamed("value", "merged"), AT).withColumn("ssv", F.sum("simplices").over(w))
-        rows = rows.withColumn("fsv", F.col("ssv") - F.col("merged"))
+    rows = count.join(_merges(k, found).withColumnRenamed("value", "merged"), AT).withColumn("ssv", F.sum("simplices").over(w))
+    rows = rows.withColumn("fsv", F.col("ssv") - F.col("merged"))
     return rows.select(*AT, "simplices", "ssv", "fsv", F.when(F.col("ssv") == 0, 0.0).otherwise(1 - F.col("fsv") / F.col("ssv")).alias("tsv"))
 
 

@@ -146,6 +146,7 @@ ORACLES = {
     "incidence": with_(K_ORDER, " select sid, unnest(m) as vertex from k"),
     "incidence_matrix": with_(NATIONS, COMPLEX, " select k.sid, " + ", ".join(f"max((list_contains(m, {v}))::int)::int as v{v}" for v in range(25)) + " from k group by k.sid"),
     "shared_faces": with_(K_SUPP, PAIRS, LEVELS, " select lv.q::int as q, count(pr.i) as value from lv left join pr on pr.shared - 1 = lv.q group by lv.q"),
+    "overlaps": with_(K_SUPP, PAIRS, " select i, j, shared from pr where shared >= 3"),
     "connectivity": with_(K_SUPP, PAIRS, """ select i, j, (shared - 1)::bigint as value from pr union all select j, i, (shared - 1)::bigint from pr union all select sid, sid, (len(m) - 1)::bigint from k"""),
     "connectivity_dense": with_(NATIONS, COMPLEX, PAIRS, """ select a.sid as i, b.sid as j, case when a.sid = b.sid then len(a.m) - 1 else coalesce(shared, 0) - 1 end::bigint as value
         from k a cross join k b left join pr on pr.i = least(a.sid, b.sid) and pr.j = greatest(a.sid, b.sid)"""),
@@ -193,6 +194,7 @@ ORACLES = {
     "suppliers_fsv": with_(WIDEST, " select q::int as q, count(distinct component)::bigint as value from comp group by q"),
     "suppliers_tsv": with_(WIDEST, " select q::int as q, round(1 - count(distinct component) / count(*), 6) as value from comp group by q"),
     "suppliers_components": with_(WIDEST, " select q::int as q, sid, component from comp"),
+    "suppliers_components_at": with_(WIDEST, " select sid, component from comp where q = 2"),
     "adjacency": with_(NATIONS, COMPLEX, " select sid, array_to_string(m, ' ') as members from k"),
     "edge_rows": persistence(NATION_STEPS, 1),
     "edge_pairs": "select distinct least(l_suppkey, l_partkey)::bigint as u, greatest(l_suppkey, l_partkey)::bigint as v from lineitem where l_suppkey <> l_partkey",
@@ -210,6 +212,7 @@ ORACLES = {
         where not exists (select 1 from k b where b.g = k.g and b.sid <> k.sid and len(list_intersect(k.m, b.m)) = len(k.m) and (len(b.m) > len(k.m) or b.sid < k.sid))"""),
     "union_of_rows": with_(YEARLY, STARS, " select g as complex_id, array_to_string(list_sort(list_distinct(flatten(list(m)))), ' ') as members from k group by g"),
     "persistence_suppliers": persistence(SUPPLIERS, 12),
+    "persistence_ranges": persistence(SUPPLIERS, 12),
     "diagram_access": f"select row_number() over (order by q, birth, death, list_transform(string_split(members, ' '), lambda x: x::bigint)) - 1 as i, * from ({persistence(NATION_STEPS, 1)})",
     "projection_rows": with_(NATIONS, COMPLEX, """, inc as (select sid, unnest(m) as vertex from k where len(m) > 2), pj as (select a.vertex as i, b.vertex as j, count(*) as value from inc a join inc b on a.sid = b.sid and a.vertex <> b.vertex group by all),
         n as (select unnest(range(0, max(list_max(m)) + 1)) as x from k)

@@ -53,11 +53,10 @@ def test_golden_vectors(spark):
 
 
 @pytest.mark.parametrize("own", [[], [{0}], [{0, 1}], [{0}, {1}], [{0, 1}, {1, 2}], Q6, Q7, [set(), {3, 4}, {3, 4}]])
-@pytest.mark.parametrize("method", ["forest", "stars"])
-def test_components(spark, own, method):
+def test_components(spark, own):
     k = table(spark, own)
     got = {}
-    for r in components.q_components(k, method).collect():
+    for r in components.q_components(k).collect():
         got.setdefault(r.q, {}).setdefault(r.component, []).append(r.sid)
     top = max([len(s) for s in own], default=0)
     assert {q: sorted(map(sorted, g.values())) for q, g in got.items()} == {q: plain_components(own, q) for q in range(top)}

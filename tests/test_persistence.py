@@ -121,3 +121,37 @@ def test_inputs(spark):
         persistence.of_edge_rows(rows.drop("w"))
     near = rows.withColumn("w", F.col("w") + 0.004)
     assert sorted(r.birth for r in persistence.of_edge_rows(near, digits=1).collect()) == [1.0, 1.0, 2.0, 3.0]
+
+
+def whole(df):
+    return sorted((r.complex_id, r.q, r.birth, r.death, tuple(r.members)) for r in df.collect())
+
+
+def test_ranges_of_weights(spark):
+    """However a graph's weights are cut into ranges, each a task of its own, the intervals are those of one sweep."""
+    r = random.Random(3)
+    rows = [(c, u, v, w) for c in range(40) for u, v, w in drawn(900 + c)[1]]
+    rows += [(50, u, v, float(r.randrange(6))) for u, v in itertools.combinations(range(60), 2) if r.random() < 0.1]
+    rows += [(51, u, v, r.random()) for u, v in itertools.combinations(range(15), 2)] + [(52, 0, 1, 1.0)]
+    edges = spark.createDataFrame(rows, "complex_id long, u long, v long, w double")
+    one = whole(persistence.dense(edges, 10**9))
+    assert len(one) > 900
+    for at_most in (1, 2, 5, 40):
+        assert whole(persistence.dense(edges, at_most)) == one
+
+
+def test_a_large_graph_is_several_tasks(spark):
+    r = random.Random(5)
+    rows = sorted({(min(u, v), max(u, v)) for u, v in ((r.randrange(1500), r.randrange(1500)) for _ in range(5200)) if u != v})
+    edges = spark.createDataFrame([(0, u, v, float(r.randrange(1000))) for u, v in rows], "complex_id long, u long, v long, w double")
+    cut = persistence.ranges(edges, persistence.RANGE)
+    sizes = [x["count"] for x in cut.groupBy("at").count().collect()]
+    assert len(rows) > 5000 and len(sizes) >= 8 and max(sizes) < 2 * persistence.RANGE
+    assert whole(persistence.persistent_communities(edges)) == whole(persistence.dense(edges, 10**9))
+
+
+def test_births_up_a_long_chain(spark):
+    nodes = [(0, i, i + 1 if i < 90 else None, float(i) if i in (7, 40) else None) for i in range(91)] + [(0, 200, 40, 3.0), (1, 5, None, 2.0)]
+    found = persistence.births(spark.createDataFrame(nodes, "complex_id long, node long, up long, birth double"))
+    want = {(0, i): (None if i < 7 else 7.0 if i < 40 else 3.0) for i in range(91)} | {(0, 200): 3.0, (1, 5): 2.0}
+    assert {(r.complex_id, r.node): r.birth for r in found.collect()} == want

@@ -37,14 +37,67 @@ def test_numbering_by_ranges(spark):
     assert cliques.numbered(found.where("false"), ranked=-1).count() == 0
 
 
-def test_forests_in_rounds(spark, monkeypatch):
+def plain_components(k):
+    """(complex_id, q, sid, least sid) by flooding, level by level."""
+    own, out = {}, []
+    for r in k.simplices.collect():
+        own.setdefault(r.complex_id, {})[r.sid] = set(r.members)
+    for c, sets in own.items():
+        for q in range(max(map(len, sets.values()))):
+            left = {s for s in sets if len(sets[s]) > q}
+            while left:
+                found = [min(left)]
+                left.discard(found[0])
+                for x in found:
+                    near = {y for y in left if len(sets[x] & sets[y]) > q}
+                    left -= near
+                    found += near
+                out += [(c, q, x, found[0]) for x in found]
+    return sorted(out)
+
+
+def test_merge_tree(spark):
     k = drawn(spark, 80, 30, 3)
-    want = rows(vectors.graded(k))
-    parts = rows(components.q_components(k))
-    monkeypatch.setattr(components, "FAN", 2)
-    assert rows(vectors.graded(k)) == want and rows(components.q_components(k)) == parts
-    monkeypatch.setattr(components, "FOREST", 1)
-    assert rows(vectors.graded(k)) == want and rows(components.q_components(k)) == parts
+    want = plain_components(k)
+    assert rows(components.q_components(k).select("complex_id", "q", "sid", "component")) == want
+    n = {}
+    for c, q, sid, component in want:
+        n[c, q] = n.get((c, q), 0) + (sid == component)
+    assert rows(vectors.first_structure_vector(k)) == sorted((c, q, x) for (c, q), x in n.items())
+    for q in range(4):
+        assert rows(components.components_at(k, q)) == [(c, s, x) for c, p, s, x in want if p == q]
+
+
+def test_merge_tree_of_a_long_chain(spark):
+    """Links of rising weight: every simplex chooses the next one, so that one round's pointers go all the way."""
+    n = 200
+    chain = spark.createDataFrame([(0, s, list(range(s * (s - 1) // 2, s * (s + 1) // 2 + s + 1))) for s in range(1, n)], "complex_id long, sid long, members array<long>")
+    k = SimplicialComplex(chain)
+    assert rows(components.q_components(k).select("complex_id", "q", "sid", "component")) == plain_components(k)
+    alone = SimplicialComplex(spark.createDataFrame([(0, 1, [1]), (0, 2, [2, 3]), (1, 1, [])], "complex_id long, sid long, members array<long>"))
+    assert rows(components.q_components(alone).select("q", "sid", "component")) == [(0, 1, 1), (0, 2, 2), (1, 2, 2)]
+    assert components.q_components(SimplicialComplex(alone.simplices.where("false"))).count() == 0
+
+
+def test_no_task_holds_a_complex(spark):
+    """The most rows that reach one Python call stay below a complex's simplices; there is no grouped Python at all."""
+    k = drawn(spark, 80, 30, 3)
+    plan = components.q_components(k)._jdf.queryExecution().toString()
+    assert "FlatMap" not in plan
+
+
+def test_overlaps(spark):
+    k = drawn(spark)
+    for least in (1, 2, 3, 5):
+        want = rows(pairs.pairs(k).where(F.col("shared") >= least))
+        assert rows(pairs.overlaps(k, least)) == want == rows(pairs.overlaps(k, least, heavy=3))
+
+
+def test_overlaps_meet_fewer(spark):
+    """A vertex that all simplices have brings no pairs together where two shared vertices are asked for."""
+    k = SimplicialComplex(spark.createDataFrame([(0, s, [0, 10 + s, 1000 + s // 2]) for s in range(60)], "complex_id long, sid long, members array<long>"))
+    assert rows(pairs.overlaps(k, 2)) == [(0, s, s + 1, 2) for s in range(0, 60, 2)]
+    assert rows(pairs.overlaps(k, 3)) == []
 
 
 def test_whole_graphs_in_a_task(spark):
