@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from functools import lru_cache, partial
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 SEQUENCE, GROUP_TOKENS = 1024, 1 << 21
 LINEAR, QUADRATIC = 1024.0, 1.0
 SEPARATOR = 0
+#: Runs of white space (Unicode's, as the vocabulary's pattern means it) that are too long for a pattern which looks ahead.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 #: Rows that an Arrow batch has at most decide how much text waits in memory.
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -48,8 +51,23 @@ def encoder(path: str):
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    encode = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special).encode
-    return partial(encode, allowed_special=set(special), disallowed_special=())
+    encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    whole = tiktoken.Encoding("space", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})  # all of a run is one piece
+    return partial(with_long_space, partial(encoding.encode, allowed_special=set(special), disallowed_special=()), whole.encode, tuple(special))
+
+
+def with_long_space(encode, piece, special: tuple[str, ...], text: str) -> list[int]:
+    """encode(text), where long runs of white space are cut out as the pattern would cut them.
+
+    A run is a piece of its own, but for its last character, which goes with what follows; where nothing follows, or a special token, all is.
+    """
+    out, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) or text.startswith(special, run.end()) else run.end() - 1
+        out += encode(text[at : run.start()])
+        out += piece(text[run.start() : end])
+        at = end
+    return out + encode(text[at:]) if out or at else encode(text)
 
 
 def cost(n: int) -> float:
