@@ -22,6 +22,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -38,7 +39,7 @@ LEAVE = 1.0
 #: Kinds of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data dfn del em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = set("script style head title template svg math noscript iframe object canvas audio video select textarea button".split())
+DROPPED = set("script style head title template svg noscript iframe object canvas audio video select textarea button".split())
 RAW = set("script style textarea title".split())
 CLOSES = {"p": set("p".split()), "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -50,7 +51,9 @@ ABOVE_TAGS = "article main section nav header footer aside form ul table blockqu
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: An attribute's name and value; values are stepped over whole.
+NAMED = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -83,6 +86,18 @@ def paired(page: str, tag: str) -> dict[int, int]:
     return found
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether an attribute says so: hidden, a style without display, or aria-hidden. What stands in other values doesn't count."""
+    low = attributes.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for name, value in NAMED.findall(low):
+        value = value.strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and NOT_SHOWN.search(value)):
+            return True
+    return False
+
+
 def raw_end(page: str, at: int, tag: str) -> int:
     e = re.compile(rf"</{re.escape(tag)}(?![\w-])[^>]*>", re.I).search(page, at)
     return e.end() if e else len(page)
@@ -153,10 +168,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     blocks: list[tuple[int, str]] = []
     # open elements: (tag, node), of inline ones the node around them
     stack: list[tuple[str, int]] = [("html", 0)]
+    # where blocks stand in it, how many of each name are open, and of each block the inline elements that are open within it
+    places: list[int] = [0]
+    open_blocks: Counter[str] = Counter()
+    open_inline: list[Counter[str]] = [Counter()]
     parts: list[str] = []
     pairs: dict[str, dict[int, int]] = {}
     linked, total, at, end = 0, 0, 0, len(page)
 
+    def cut(i: int) -> None:
+        """Closes all from place i on."""
+        for name, _ in reversed(stack[i:]):
+            if name in INLINE:
+                open_inline[-1][name] -= 1
+            else:
+                open_inline.pop()
+                places.pop()
+                open_blocks[name] -= 1
+        del stack[i:]
+
     def flush() -> None:
         nonlocal total, linked
         if parts:
@@ -190,18 +220,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[0][-1] != ">":
             break  # cut off within a tag
         if m[1] or m[4]:  # an end tag
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if tag not in INLINE or stack[i][1] != stack[-1][1]:
-                        flush()
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+            if open_inline[-1][tag] if tag in INLINE else open_blocks[tag]:
+                i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag)
+                if tag not in INLINE or stack[i][1] != stack[-1][1]:
+                    flush()
+                cut(i)
             continue
         attributes = m[3] if m[2] else m[6]
         nodes[stack[-1][1]].tags += 1
-        if tag in DROPPED or HIDDEN.search(attributes):
+        if tag in DROPPED or is_hidden(attributes):
             if tag in VOID:
                 continue
             # all of it goes: up to its end tag, or up to where it ends without one; of others that are never closed the start tag
@@ -221,18 +248,20 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 parts.append(" ")
             elif tag not in VOID:
                 stack.append((tag, stack[-1][1]))
+                open_inline[-1][tag] += 1
             continue
         flush()
         if tag == "html":
             continue
         # a block ends the paragraph around it; items and cells end those of the same list or table
-        for i in range(len(stack) - 1, 0, -1):
+        ends = {"p", *CLOSES.get(tag, ())}
+        for i in reversed(places[1:]) if any(open_blocks[name] for name in ends) else ():
             name = stack[i][0]
-            if name == "p" or name in CLOSES.get(tag, ()):
-                del stack[i:]
+            if name in ends:
+                cut(i)
                 if name != "p" or tag not in SCOPES:
                     break
-            elif name not in INLINE and (tag not in SCOPES or name in SCOPES[tag]):
+            elif tag not in SCOPES or name in SCOPES[tag]:
                 break
         if tag in VOID:
             continue
@@ -240,6 +269,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         up = nodes[parent]
         up.kinds[tag] = up.kinds.get(tag, 0) + 1
         tokens = tuple(sorted({t for a in ATTRIBUTE.findall(attributes) for t in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a.strip("\"'")).lower())})) if attributes else ()
+        places.append(len(stack))
+        open_blocks[tag] += 1
+        open_inline.append(Counter())
         stack.append((tag, len(nodes)))
         nodes.append(Node(tag, parent, up.depth + 1, tokens, up.children, before=total))
         up.children += 1
