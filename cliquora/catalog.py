@@ -144,6 +144,8 @@ QUERIES = {
     "eccentricity": on_suppliers(lambda k: digits(pairs.eccentricity(k))),
     "family_eccentricity": on_suppliers(lambda k: digits(pairs.family_eccentricity(k))),
     "maximal_cliques": lambda s, d: cliques.maximal_cliques(views.nation_graph(s, d).select("complex_id", "u", "v"), views.nation_vertices(s, d)).select(joined("members").alias("members"), F.size("members").alias("size")),
+    "core_numbers": lambda s, d: cliques.core_numbers(views.supplier_neighbours(s, d)).drop("complex_id"),
+    "hub_cliques": lambda s, d: cliques.maximal_cliques(views.supplier_neighbours(s, d), hub=0).select(joined("members").alias("members"), F.size("members").alias("size")),
     "k_cliques": lambda s, d: cliques.k_cliques(views.nation_graph(s, d).select("complex_id", "u", "v"), 5).select(joined("members").alias("members"), "size"),
     "edge_cliques": edge_of_first,
     "components": on_nations(components.q_components),

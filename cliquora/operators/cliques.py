@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cliquora.operators.durable import durable
+from cliquora.operators.durable import durable, looped
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -35,12 +35,123 @@ def search(near: dict[int, set[int]], root: int) -> list[list[int]]:
     return found
 
 
-def maximal_cliques(edges: DataFrame, vertices: DataFrame | None = None, by_graph: bool = False) -> DataFrame:
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(complex_id, vertex, core): the largest k such that the vertex is in a part of the graph in which all have k neighbours or more.
+
+    Every vertex starts from its degree and takes, round by round, the largest h such that h of its neighbours stand at h or more;
+    where nothing moves these are the core numbers. Neighbours are counted by where they stand, so that no task lists a hub's.
+    """
+    both = durable(both_ways(edges).distinct())
+    now = looped(both.groupBy("complex_id", F.col("v").alias("vertex")).agg(F.count("*").alias("core")))
+    while True:
+        stands = both.join(now.select("complex_id", F.col("vertex").alias("n"), F.col("core").alias("at")), ["complex_id", "n"])
+        stands = stands.join(now.select("complex_id", F.col("vertex").alias("v"), "core"), ["complex_id", "v"])
+        counts = stands.groupBy("complex_id", "v", "core", F.least("at", "core").alias("at")).agg(F.count("*").alias("c"))
+        so_far = F.sum("c").over(W.partitionBy("complex_id", "v").orderBy(F.col("at").desc()))
+        least = counts.withColumn("h", F.least("at", so_far)).groupBy("complex_id", F.col("v").alias("vertex")).agg(F.max("core").alias("before"), F.max("h").alias("core"))
+        after = looped(least)
+        now = after.drop("before")
+        if after.where("core < before").isEmpty():
+            return now
+
+
+#: Neighbours of a vertex that are taken to one task whatever the graph; with more, the order of peeling decides whose task they go to.
+HUB = 1000
+
+
+def peeled(edges: DataFrame) -> DataFrame:
+    """(complex_id, vertex, layer): in each round the vertices of at most twice the average degree of what is left go.
+
+    At least half go in a round, so that the rounds are logarithmic. A vertex has at most four times the graph's degeneracy of
+    neighbours in its own layer and later ones.
+    """
+    left, layer = looped(both_ways(edges).distinct()), 0
+    out = None
+    while True:
+        degrees = left.groupBy("complex_id", "v").agg(F.count("*").alias("n"))
+        bound = degrees.groupBy("complex_id").agg((2 * F.avg("n")).alias("bound"))
+        gone = looped(degrees.join(bound, "complex_id").where("n <= bound").select("complex_id", F.col("v").alias("vertex"), F.lit(layer).alias("layer")))
+        if gone.isEmpty():
+            return gone if out is None else out
+        out = gone if out is None else out.unionByName(gone)
+        end = lambda x: gone.select("complex_id", F.col("vertex").alias(x))  # noqa: B023, E731
+        rest = left.join(end("v"), ["complex_id", "v"], "left_anti").join(end("n"), ["complex_id", "n"], "left_anti").select("complex_id", "v", "n")
+        # a vertex whose last neighbours have gone goes with the next round, under a layer of its own
+        alone = left.select("complex_id", "v").distinct().join(end("v"), ["complex_id", "v"], "left_anti").join(rest.select("complex_id", "v").distinct(), ["complex_id", "v"], "left_anti")
+        out = out.unionByName(looped(alone.select("complex_id", F.col("v").alias("vertex"), F.lit(layer + 1).alias("layer"))))
+        left, layer = looped(rest), layer + 2
+
+
+def rooted(near: dict[int, set[int]], root: int) -> list[list[int]]:
+    """The cliques of root and of its later neighbours (near: of each the neighbours among them) that none of these can join."""
+    found = []
+    stack = [([root], set(near), set())]
+    while stack:
+        clique, candidates, excluded = stack.pop()
+        if not candidates:
+            if not excluded:
+                found.append(sorted(clique))
+            continue
+        pivot = max(candidates | excluded, key=lambda v: len(near[v] & candidates))
+        for v in sorted(candidates - near[pivot]):
+            stack.append(([*clique, v], candidates & near[v], excluded & near[v]))
+            candidates = candidates - {v}
+            excluded = excluded | {v}
+    return found
+
+
+def later_links(edges: DataFrame) -> DataFrame:
+    """(complex_id, v, a, b): of each vertex the later neighbours in the order of peeling (b is null) and the links a-b among these."""
+    at = peeled(edges)
+    place = lambda x: at.select("complex_id", F.col("vertex").alias(x), F.struct("layer", "vertex").alias(f"{x}_at"))
+    star = both_ways(edges).distinct().join(place("v"), ["complex_id", "v"]).join(place("n"), ["complex_id", "n"]).where("v_at < n_at").select("complex_id", "v", "n")
+    star = durable(star)
+    a, b = star.withColumnRenamed("n", "a"), star.withColumnRenamed("n", "b")
+    links = a.join(star.select("complex_id", F.col("v").alias("a"), F.col("n").alias("b")), ["complex_id", "a"]).join(b, ["complex_id", "v", "b"], "left_semi")
+    return star.select("complex_id", "v", F.col("n").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(links.select("complex_id", "v", "a", "b"))
+
+
+def hub_cliques(edges: DataFrame) -> DataFrame:
+    """(complex_id, members): the maximal cliques, where no task has more of a vertex's neighbours than four times the degeneracy.
+
+    A root's task has its later neighbours only. A clique that it finds is one of the graph's unless an earlier vertex is linked with all
+    of it: such vertices are looked for among the neighbours of the clique's member with the fewest, by joins, and what they can
+    join goes by an anti join.
+    """
+    kind = edges.schema["complex_id"].dataType.simpleString()
+    edges = durable(edges.select("complex_id", "u", "v").distinct())
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lone, linked = pdf[pdf["b"].isna()], pdf[pdf["b"].notna()]
+        near = {int(n): set() for n in lone["a"]}
+        for x, y in zip(linked["a"].astype(int), linked["b"].astype(int), strict=True):
+            near[x].add(y)
+            near[y].add(x)
+        found = rooted(near, int(key[1]))
+        return pd.DataFrame({"complex_id": pd.Series([key[0]] * len(found), dtype=object), "members": pd.Series(found, dtype=object)})
+
+    found = later_links(edges).groupBy("complex_id", "v").applyInPandas(run, f"complex_id {kind}, members array<bigint>")
+    found = durable(found)
+    both = durable(both_ways(edges))
+    degrees = both.groupBy("complex_id", "v").agg(F.count("*").alias("n"))
+    fewest = found.select("complex_id", "members", F.explode("members").alias("v")).join(degrees, ["complex_id", "v"]).groupBy("complex_id", "members").agg(F.min(F.struct("n", "v")).alias("few"))
+    # neighbours of that member outside the clique; of them those that are linked with each other member
+    beside = fewest.select("complex_id", "members", F.col("few.v").alias("v")).join(both, ["complex_id", "v"]).where(~F.array_contains("members", F.col("n")))
+    beside = beside.select("complex_id", "members", F.col("n").alias("x"), F.explode(F.array_except("members", F.array("v"))).alias("v"))
+    joins = beside.join(both.select("complex_id", "v", F.col("n").alias("x")), ["complex_id", "v", "x"], "left_semi")
+    gone = joins.groupBy("complex_id", "members", "x").agg(F.count("*").alias("n")).where("n = size(members) - 1").select("complex_id", "members").distinct()
+    return found.join(gone, ["complex_id", "members"], "left_anti")
+
+
+def maximal_cliques(edges: DataFrame, vertices: DataFrame | None = None, by_graph: bool = False, hub: int = HUB) -> DataFrame:
     """(complex_id, members) of edges (complex_id, u, v), u < v. Vertices without an edge are cliques of their own.
 
     A task gets one vertex, its neighbours and the edges among them (a triangle join), so that a graph spreads over the cluster.
-    by_graph: a task gets whole graphs, for ensembles of many small ones. A vertex with very many neighbours has them all in a task.
+    by_graph: a task gets whole graphs, for ensembles of many small ones. In graphs where a vertex has more than `hub` neighbours, the
+    order of peeling bounds what a task gets (hub_cliques).
     """
+    if not by_graph and not both_ways(edges).groupBy("complex_id", "v").agg(F.count("*").alias("n")).where(F.col("n") > hub).isEmpty():
+        return with_lone(hub_cliques(edges), edges, vertices)
     star = both_ways(edges)
     kind = edges.schema["complex_id"].dataType.simpleString()
     schema = f"complex_id {kind}, members array<bigint>"
@@ -69,10 +180,15 @@ def maximal_cliques(edges: DataFrame, vertices: DataFrame | None = None, by_grap
         return named(key[0], search(near, int(key[1])))
 
     out = edges.select("complex_id", "u", "v").groupBy("complex_id").applyInPandas(whole, schema) if by_graph else rows.groupBy("complex_id", "v").applyInPandas(cliques, schema)
-    if vertices is not None:
-        linked = star.select("complex_id", F.col("v").alias("vertex")).distinct()
-        out = out.unionByName(vertices.join(linked, ["complex_id", "vertex"], "left_anti").distinct().select("complex_id", F.array("vertex").alias("members")))
-    return out
+    return with_lone(out, edges, vertices)
+
+
+def with_lone(found: DataFrame, edges: DataFrame, vertices: DataFrame | None) -> DataFrame:
+    """Cliques, and each vertex without an edge as one of its own."""
+    if vertices is None:
+        return found
+    linked = both_ways(edges).select("complex_id", F.col("v").alias("vertex")).distinct()
+    return found.unionByName(vertices.join(linked, ["complex_id", "vertex"], "left_anti").distinct().select("complex_id", F.array("vertex").alias("members")))
 
 
 #: Cliques of one graph that are ranked in one task.

@@ -129,6 +129,16 @@ e as (select distinct least(u, v)::bigint as u, greatest(u, v)::bigint as v, -n:
 STARS = """,
 k as (select grp || ' ' || sample as g, u as sid, list_sort(list(distinct v)) as m from ys group by all)"""
 
+#: Core numbers by peeling one layer at a time: the vertices of the least degree go, and k is the largest least degree so far.
+CORES = """,
+pe as (select 0 as step, 0 as k, list(distinct x) as own, []::bigint[] as gone, [0]::bigint[] as ks from (select u as x from e union all select v from e)
+       union all
+       select step + 1, greatest(k, low), list_filter(own, lambda x: not list_contains(out, x)), list_concat(gone, out), list_concat(ks, list_transform(out, lambda x: greatest(k, low)::bigint))
+       from (select *, (select min(n) from (select x, count(y) as n from unnest(own) o(x) left join (select u as a, v as y from e union all select v, u from e) on a = x and list_contains(own, y) group by x)) as low from pe where len(own) > 0) p,
+       lateral (select list(x) as out from (select x, count(y) as n from unnest(p.own) o(x) left join (select u as a, v as y from e union all select v, u from e) on a = x and list_contains(p.own, y) group by x) where n = p.low) q),
+la as (select gone, ks[2:] as ks from pe where len(own) = 0)
+select unnest(gone) as vertex, unnest(ks) as core from la"""
+
 ORACLES = {
     "simplex_count": with_(K_ORDER, LEVELS, " select lv.q::int as q, count(k.sid) as value from lv left join k on len(m) - 1 = lv.q group by lv.q"),
     "ssv": with_(K_ORDER, LEVELS, " select lv.q::int as q, count(k.sid) as value from lv left join k on len(m) - 1 >= lv.q group by lv.q"),
@@ -154,6 +164,8 @@ ORACLES = {
     "family_eccentricity": with_(K_SUPP, PAIRS, """, bo as (select i, shared from pr union all select j, shared from pr), lo as (select i, max(shared) as s from bo group by i)
         select sid, case when (select count(*) from k) > 1 then round(1 - coalesce(s, 0) / len(m), 6) end as value from k left join lo on i = sid"""),
     "maximal_cliques": with_(NATIONS, CLIQUES, " select array_to_string(m, ' ') as members, len(m)::int as size from mc"),
+    "core_numbers": "with recursive " + SUPPLIERS + CORES,
+    "hub_cliques": "with recursive " + SUPPLIERS + """, ge as (select 0 as g, u, v from e), gv as (select 0 as g, u as vertex from e where false)""" + CLIQUES + " select array_to_string(m, ' ') as members, len(m)::int as size from mc",
     "k_cliques": with_(NATIONS, CLIQUES, " select array_to_string(m, ' ') as members, len(m)::int as size from cl where len(m) <= 5"),
     "edge_cliques": with_(NATIONS, CLIQUES, " select array_to_string(m, ' ') as members from mc where list_contains(m, (select min(u) from ge)) and list_contains(m, (select min(v) from ge where u = (select min(u) from ge)))"),
     "components": with_(NATIONS, COMPLEX, CONNECTED, " select q::int as q, sid, component from comp"),

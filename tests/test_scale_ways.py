@@ -181,3 +181,36 @@ def test_exact_p_values(spark):
     stat = {i: fsv(t["a"])[0] - fsv(t["b"])[0] for i, t in teams.items()}
     above, below = sum(stat[i] >= stat[0] for i in range(1, n + 1)), sum(stat[i] <= stat[0] for i in range(1, n + 1))
     assert got[0, "fsv"] == (stat[0], pytest.approx(min(1, 2 * (min(above, below) + 1) / (n + 1))))
+
+
+def test_hubs_are_peeled(spark):
+    """A star of 3000 leaves whose centre is in a clique too: no task gets more than four times the degeneracy of neighbours."""
+    leaves = spark.range(100, 3100).select(F.lit(0).cast("long").alias("complex_id"), F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    clique = spark.createDataFrame([(0, u, v) for u, v in itertools.combinations(range(8), 2)], "complex_id long, u long, v long")
+    edges = leaves.unionByName(clique)
+    most = cliques.later_links(edges).where("b is null").groupBy("v").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 4 * 7
+    found = cliques.maximal_cliques(edges)
+    assert found.count() == 3001
+    assert [r.members for r in found.where(F.size("members") > 2).collect()] == [list(range(8))]
+
+
+def test_hub_cliques_and_cores_against_plain(spark):
+    r = random.Random(9)
+    graphs = {c: [(u, v) for u, v in itertools.combinations(range(16), 2) if r.random() < p] for c, p in enumerate((0.15, 0.4, 0.7, 1.0))}
+    edges = spark.createDataFrame([(c, *e) for c, es in graphs.items() for e in es], "complex_id long, u long, v long")
+    assert rows(cliques.maximal_cliques(edges, hub=0)) == rows(cliques.maximal_cliques(edges))
+    want = []
+    for c, es in graphs.items():
+        near, k = {}, 0
+        for u, v in es:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+        while near:
+            v = min(near, key=lambda x: len(near[x]))
+            k = max(k, len(near[v]))
+            want.append((c, v, k))
+            for n in near.pop(v):
+                near[n].discard(v)
+    assert rows(cliques.core_numbers(edges).select("complex_id", "vertex", "core")) == sorted(want)
+    assert cliques.core_numbers(edges.where("false")).count() == 0 and cliques.hub_cliques(edges.where("false")).count() == 0
