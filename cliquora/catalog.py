@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliquora import functions, ml
 from cliquora.model import SimplicialComplex
-from cliquora.operators import cliques, components, ensemble, pairs, persistence, vectors
+from cliquora.operators import bitsets, cliques, components, ensemble, pairs, persistence, vectors
+from cliquora.operators.durable import shared_folder
 from cliquora.plans import views
 from cliquora.plans.oracles import ORACLES
-from cliquora.sources import datasets, generators, matrices
+from cliquora.sources import compressed, datasets, generators, matrices
 
 joined = lambda c: F.array_join(c, " ")
 digits = lambda df, n=6: df.withColumn("value", F.round("value", n))
@@ -122,6 +126,21 @@ def union_of_stars(s, d) -> DataFrame:
     return k.groupBy("complex_id").agg(joined(functions.union_of_rows(F.col("members"))).alias("members"))
 
 
+def word_sets(s, d) -> DataFrame:
+    """Each supplier's parts that were returned (a) and not (b), as words: sizes of what both, either and the first alone have."""
+    a, b = (bitsets.words(views.delivered(s, d, x)) for x in (True, False))
+    sizes = lambda found, name: bitsets.sizes(found).select("sid", F.lit(name).alias("op"), "value")
+    return sizes(bitsets.intersection(a, b), "both").unionByName(sizes(bitsets.union(a, b), "either")).unionByName(sizes(bitsets.difference(a, b), "returned"))
+
+
+def graded_fitted(s, d) -> DataFrame:
+    """The samples' vectors by a pipeline that learned order and vertices from all of them, was saved and loaded again."""
+    samples = dataset_of_samples(s, d)
+    folder = f"{shared_folder(samples)}/fitted-{uuid.uuid4().hex}"
+    Pipeline(stages=[ml.GradedEstimator(metrics=["fsv", "ssv", "entropy"], fill_value=-1.0)]).fit(samples).write().save(folder)
+    return digits(PipelineModel.load(folder).transform(samples))
+
+
 QUERIES = {
     "bundle": on_nations(lambda k: digits(vectors.graded(k))),
     "simplex_count": on_orders(vectors.simplex_count),
@@ -139,6 +158,10 @@ QUERIES = {
     "incidence_matrix": on_nations(lambda k: vectors.incidence_matrix(k, list(range(25))).withColumnsRenamed({str(v): f"v{v}" for v in range(25)})),
     "shared_faces": on_suppliers(pairs.shared_faces),
     "overlaps": on_suppliers(lambda k: pairs.overlaps(k, 3)),
+    "shared_faces_words": on_suppliers(lambda k: pairs.shared_faces(k, bitsets.pairs_by_words(k))),
+    "served_overlaps": lambda s, d: bitsets.pairs_by_words(views.served_complex(s, d)).drop("complex_id"),
+    "vertex_words": on_orders(lambda k: bitsets.words(k.incidence())),
+    "word_sets": word_sets,
     "connectivity": on_suppliers(pairs.connectivity),
     "connectivity_dense": on_nations(lambda k: pairs.connectivity(k, dense=True)),
     "eccentricity": on_suppliers(lambda k: digits(pairs.eccentricity(k))),
@@ -191,9 +214,12 @@ QUERIES = {
     "persistence_suppliers": lambda s, d: diagram(persistence.persistent_communities(views.supplier_neighbours(s, d))),
     "persistence_ranges": lambda s, d: diagram(persistence.dense(views.supplier_neighbours(s, d), 128).withColumn("size", F.size("members"))),
     "diagram_access": lambda s, d: persistence.Diagram(persistence.persistent_communities(views.nation_distances(s, d), 1)).numbered().withColumn("members", joined("members")),
+    "diagram_offsets": lambda s, d: compressed.read(s, views.compressed_diagram(s, d))[0].drop("complex_id"),
+    "diagram_members": lambda s, d: compressed.read(s, views.compressed_diagram(s, d))[1].drop("complex_id"),
     "projection_rows": on_nations(lambda k: ensemble.projection_rows(k, 2, weighted=True).withColumn("row", joined("row"))),
     "component_labels": on_nations(lambda k: ml.QComponents(q=1).transform(k.simplices)),
     "graded_transformer": lambda s, d: digits(ml.GradedParameters(metrics=["fsv", "ssv", "entropy"], max_order=6, fill_value=-1.0, n_vertices=25).transform(dataset_of_samples(s, d))),
+    "graded_fitted": graded_fitted,
     "projection_transformer": on_nations(lambda k: ml.SimplexProjection(q=2, weighted=True).transform(k.simplices)),
     "filter_transformer": lambda s, d: ml.GraphCliqueFilter(q=4).transform(views.nation_graph(s, d)).drop("complex_id"),
     "occupation_array": on_nations(lambda k: vectors.occupation_array(k, 5)),

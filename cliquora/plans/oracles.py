@@ -94,6 +94,8 @@ select q::int as q, birth, case when after is null then 'Infinity'::double else
 from rk where after is null or rn > 1"""
 
 
+#: The order of intervals, members as numbers; rows that this leaves open are equal.
+DIAGRAM_ORDER = "order by q, birth, death, list_transform(string_split(members, ' '), lambda x: x::bigint) rows unbounded preceding"
 NATION_STEPS = TRADE.strip() + """,
 e as (select u, v, (((top - n) * 8) // (top - low + 1))::double as w from (select *, max(n) over () as top, min(n) over () as low from nw))"""
 REGIONS = TRADE.strip() + """,
@@ -157,6 +159,16 @@ ORACLES = {
     "incidence_matrix": with_(NATIONS, COMPLEX, " select k.sid, " + ", ".join(f"max((list_contains(m, {v}))::int)::int as v{v}" for v in range(25)) + " from k group by k.sid"),
     "shared_faces": with_(K_SUPP, PAIRS, LEVELS, " select lv.q::int as q, count(pr.i) as value from lv left join pr on pr.shared - 1 = lv.q group by lv.q"),
     "overlaps": with_(K_SUPP, PAIRS, " select i, j, shared from pr where shared >= 3"),
+    "shared_faces_words": with_(K_SUPP, PAIRS, LEVELS, " select lv.q::int as q, count(pr.i) as value from lv left join pr on pr.shared - 1 = lv.q group by lv.q"),
+    "served_overlaps": """with inc as (select distinct l_suppkey::bigint as sid, c_nationkey as vertex from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)
+        select a.sid as i, b.sid as j, count(*) as shared from inc a join inc b on a.vertex = b.vertex and a.sid < b.sid group by all""",
+    "vertex_words": """with inc as (select distinct l_orderkey::bigint as sid, l_suppkey::bigint as v from lineitem)
+        select sid, v // 64 as bucket, bit_or(case when v % 64 = 63 then -9223372036854775808 else 1::bigint << (v % 64)::int end)::bigint as word from inc group by all""",
+    "word_sets": """with a as (select distinct l_suppkey::bigint as sid, l_partkey as v from lineitem where l_returnflag = 'R'),
+        b as (select distinct l_suppkey::bigint as sid, l_partkey as v from lineitem where l_returnflag <> 'R'),
+        m as (select coalesce(a.sid, b.sid) as sid, a.sid is not null as ra, b.sid is not null as rb from a full join b on a.sid = b.sid and a.v = b.v)
+        select sid, 'both' as op, count(*) as value from m where ra and rb group by sid union all select sid, 'either', count(*) from m group by sid
+        union all select sid, 'returned', count(*) from m where ra and not rb group by sid""",
     "connectivity": with_(K_SUPP, PAIRS, """ select i, j, (shared - 1)::bigint as value from pr union all select j, i, (shared - 1)::bigint from pr union all select sid, sid, (len(m) - 1)::bigint from k"""),
     "connectivity_dense": with_(NATIONS, COMPLEX, PAIRS, """ select a.sid as i, b.sid as j, case when a.sid = b.sid then len(a.m) - 1 else coalesce(shared, 0) - 1 end::bigint as value
         from k a cross join k b left join pr on pr.i = least(a.sid, b.sid) and pr.j = greatest(a.sid, b.sid)"""),
@@ -226,12 +238,18 @@ ORACLES = {
     "persistence_suppliers": persistence(SUPPLIERS, 12),
     "persistence_ranges": persistence(SUPPLIERS, 12),
     "diagram_access": f"select row_number() over (order by q, birth, death, list_transform(string_split(members, ' '), lambda x: x::bigint)) - 1 as i, * from ({persistence(NATION_STEPS, 1)})",
+    "diagram_offsets": f"select row_number() over o - 1 as i, q, birth, death, (sum(size) over o - size)::bigint as first, (sum(size) over o)::bigint as last from ({persistence(NATION_STEPS, 1)}) window o as ({DIAGRAM_ORDER})",
+    "diagram_members": f"""with d as (select members, sum(size) over ({DIAGRAM_ORDER}) - size as first from ({persistence(NATION_STEPS, 1)})),
+        x as (select first, unnest(range(len(string_split(members, ' ')))) as k, unnest(string_split(members, ' ')::bigint[]) as vertex from d)
+        select (first + k)::bigint as position, vertex from x""",
     "projection_rows": with_(NATIONS, COMPLEX, """, inc as (select sid, unnest(m) as vertex from k where len(m) > 2), pj as (select a.vertex as i, b.vertex as j, count(*) as value from inc a join inc b on a.sid = b.sid and a.vertex <> b.vertex group by all),
         n as (select unnest(range(0, max(list_max(m)) + 1)) as x from k)
         select a.x as i, string_agg(coalesce(value, 0)::varchar, ' ' order by b.x) as row from n a cross join n b left join pj on pj.i = a.x and pj.j = b.x group by a.x"""),
     "component_labels": with_(NATIONS, COMPLEX, CONNECTED, " select sid, component from comp where q = 1"),
     "graded_transformer": with_(SAMPLES, COMPLEX, VECTORS, """, sc2 as (select unnest(range(0, 7)) as q), nm as (select distinct g, vector from vec where vector in ('fsv', 'ssv', 'entropy'))
         select nm.g as complex_id, sc2.q::int as q, nm.vector, round(coalesce(value, -1), 6) as value from sc2 cross join nm left join vec on vec.g = nm.g and vec.q = sc2.q and vec.vector = nm.vector"""),
+    "graded_fitted": with_(SAMPLES, COMPLEX, VECTORS, """, sc2 as (select unnest(range(0, max(q) + 1)) as q from vec), nm as (select distinct g, vector from vec where vector in ('fsv', 'ssv', 'entropy'))
+        select nm.g as complex_id, sc2.q::int as q, nm.vector, round(coalesce(value, -1), 6) as value from sc2 cross join nm left join vec on vec.g = nm.g and vec.q = sc2.q and vec.vector = nm.vector"""),
     "occupation_array": with_(NATIONS, COMPLEX, """, n as (select unnest(range(0, max(list_max(m)) + 1)) as vertex from k) select n.vertex, count(k.sid) as value from n left join k on len(m) = 6 and list_contains(m, n.vertex) group by n.vertex"""),
     "set_functions": with_(K_ORDER, """, x as (select sid, m, list_filter(m, lambda x: x in (1, 2, 3)) as few, list_filter(m, lambda x: x not in (1, 2, 3)) as rest from k)
         select sid, array_to_string(rest, ' ') as less, array_to_string(list_sort(list_distinct(list_concat(m, [1, 2, 3]))), ' ') as more, array_to_string(few, ' ') as both,

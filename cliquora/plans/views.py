@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cliquora.model import SimplicialComplex
-from cliquora.operators.durable import durable
+from cliquora.operators.durable import durable, shared_folder
+from cliquora.operators.persistence import persistent_communities
+from cliquora.sources import compressed
 
 
 def zero():
@@ -34,6 +36,19 @@ def suppliers_complex(spark, sf_dir) -> SimplicialComplex:
     return complex_of(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
 
 
+def served_complex(spark, sf_dir) -> SimplicialComplex:
+    """A simplex is a supplier, its vertices are the nations of those who have ordered from it."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return complex_of(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").join(c, "o_custkey"), "l_suppkey", "c_nationkey")
+
+
+def delivered(spark, sf_dir, returned: bool) -> DataFrame:
+    """(complex_id, sid, vertex): suppliers and the parts of theirs that were, or were not, returned."""
+    rows = read(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") == F.lit(returned))
+    return rows.select(zero(), F.col("l_suppkey").cast("long").alias("sid"), F.col("l_partkey").cast("long").alias("vertex")).distinct()
+
+
 def trade(spark, sf_dir) -> DataFrame:
     """(year, flag, u, v, n): lineitems between the nations of customer and supplier, u < v."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("cn"))
@@ -141,3 +156,11 @@ def coauthor_files(spark, sf_dir) -> str:
     for name, rows, value in (("nverts", orders.orderBy("o"), "n"), ("simplices", lines.orderBy("o", "l_linenumber"), "l_suppkey"), ("times", orders.orderBy("o"), "year")):
         rows.select(F.col(value).cast("string").alias("value")).coalesce(1).write.text(f"{folder}/orders-{name}.txt")
     return folder
+
+
+def compressed_diagram(spark, sf_dir) -> str:
+    """The folder of the nation graph's intervals (up to q = 1), written in compressed rows to the shared checkpoint folder."""
+    found = persistent_communities(nation_distances(spark, sf_dir), 1)
+    path = f"{shared_folder(found)}/diagram-{uuid.uuid4().hex}"
+    compressed.write(found, path)
+    return path
