@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cliquora.operators.durable import durable
 
-__all__ = ["GAP", "SPACE", "WORD", "durable", "let", "n_words", "positive_hash", "running", "sized", "table", "text_of", "words"]
+__all__ = ["GAP", "SPACE", "WORD", "durable", "let", "n_words", "named", "positive_hash", "row_hash", "running", "sized", "table", "text_of", "words"]
 
 #: The characters that separate words, and the words between them.
 SPACE = " \t\n\x0b\x0c\r"
@@ -67,6 +67,27 @@ def positive_hash(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def row_hash(rows: DataFrame, *without: str) -> Column:
+    """A hash of all columns but those left out, of any name and type.
+
+    What has no hash of its own (maps, variants) goes by its JSON, a map by its entries in order; of maps within other types, entries
+    in another order give another hash.
+    """
+    def hashable(field) -> Column:
+        c, kind = named(field.name), field.dataType.simpleString()
+        if kind.startswith("map<"):
+            return F.sort_array(F.transform(F.map_entries(c), lambda e: F.to_json(F.struct(e.alias("entry")))))
+        return F.to_json(F.struct(c.alias("value"))) if "map<" in kind or "variant" in kind else c
+
+    columns = [hashable(f) for f in rows.schema.fields if f.name not in without]
+    return F.xxhash64(*columns) if columns else F.lit(0).cast("long")
+
+
 #: Rows of a few numbers each that are sent to all tasks at most.
 MAX_BROADCAST = 1_000_000
 

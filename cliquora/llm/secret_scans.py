@@ -168,12 +168,32 @@ def digest(found: DataFrame, keys=("doc_id",)) -> DataFrame:
     return found.select(*keys, of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(listed(F.col("s_base")), 256).alias("base_sha256"), listed(F.col("s_spans")).alias("spans"))
 
 
+#: Characters of a block: what is taken from a text by position is taken from the blocks that it lies in.
+BLOCK = 1024
+
+
 def redact(documents: DataFrame, models: Models, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """documents with every secret replaced by mark (overlapping spans become one), all other columns as they are."""
+    """documents with every secret replaced by mark (overlapping spans become one), all other columns as they are.
+
+    Spark counts a text's characters from its start, so that a text with secrets is cut into blocks once, and a piece between two
+    secrets costs its own length and a block's.
+    """
     found = scan(documents.select(F.struct("*").alias("s_row"), F.col(text).alias("s_input")), models, ["s_row"], "s_input")
-    piece = lambda s, at: F.concat(F.substr(F.col("s_text"), at + 1, s["start"] - at), F.lit(mark))
-    own = lambda ends: F.transform("s_spans", lambda s, i: let(F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda at: F.when(s["start"] >= at, piece(s, at)).otherwise("")))
+
+    def between(blocks: Column, at: Column, to: Column) -> Column:
+        """The characters from at to before to."""
+        first = F.floor(at / BLOCK).cast("int")
+        own = F.slice(blocks, first + 1, F.greatest(F.floor((to - 1) / BLOCK).cast("int") - first + 1, F.lit(0)))
+        return F.substr(F.array_join(own, ""), F.pmod(at, F.lit(BLOCK)) + 1, to - at)
+
+    def clean(blocks: Column, ends: Column) -> Column:
+        piece = lambda s, at: F.when(s["start"] >= at, F.concat(between(blocks, at, s["start"]), F.lit(mark))).otherwise("")
+        pieces = F.transform("s_spans", lambda s, i: let(F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda at: piece(s, at)))
+        return F.concat(F.array_join(pieces, ""), F.substr(F.col("s_text"), F.element_at(ends, -1) + 1, F.length("s_text")))
+
+    blocks = F.regexp_extract_all("s_text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
     ends = running(F.transform("s_spans", lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
-    clean = let(ends, lambda e: F.concat(F.array_join(own(e), ""), F.substr(F.col("s_text"), F.element_at(e, -1) + 1, F.length("s_text"))))
-    redacted = F.when(F.size("s_spans") > 0, clean).otherwise(F.col(f"s_row.{text}"))
-    return found.withColumn("s_clean", redacted).select(*[F.col("s_clean").alias(text) if c == text else F.col(f"s_row.`{c}`") for c in documents.columns])
+    whole = let(blocks, lambda b: let(ends, lambda e: clean(b, e)))
+    redacted = F.when(F.size("s_spans") > 0, whole).otherwise(F.col(f"s_row.{text}"))
+    kept = lambda c: F.col("s_row.`" + c.replace("`", "``") + "`").alias(c)
+    return found.withColumn("s_clean", redacted).select(*[F.col("s_clean").alias(text) if c == text else kept(c) for c in documents.columns])
