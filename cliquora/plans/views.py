@@ -144,9 +144,9 @@ def adjacency_rows(spark, sf_dir) -> DataFrame:
 
 
 def coauthor_files(spark, sf_dir) -> str:
-    """The folder of three text files in the format of co-authorship data sets: orders in order, their suppliers line by line, their years.
+    """The folder of three texts in the format of co-authorship data sets: orders in order, their suppliers line by line, their years.
 
-    Written to the shared checkpoint folder; one file each, as the format has it.
+    Written to the shared checkpoint folder; each text is a folder of files, by ranges of the order.
     """
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_suppkey")
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.year("o_orderdate").alias("year"))
@@ -154,7 +154,7 @@ def coauthor_files(spark, sf_dir) -> str:
     durable(spark.range(1))  # sets the folder where it is unset
     folder = f"{spark.sparkContext.getCheckpointDir()}/coauthors-{uuid.uuid4().hex}"
     for name, rows, value in (("nverts", orders.orderBy("o"), "n"), ("simplices", lines.orderBy("o", "l_linenumber"), "l_suppkey"), ("times", orders.orderBy("o"), "year")):
-        rows.select(F.col(value).cast("string").alias("value")).coalesce(1).write.text(f"{folder}/orders-{name}.txt")
+        rows.select(F.col(value).cast("string").alias("value")).write.text(f"{folder}/orders-{name}.txt")
     return folder
 
 

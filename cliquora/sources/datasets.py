@@ -1,4 +1,8 @@
-"""Timestamped hypergraphs in three parallel text files: sizes, vertices, times."""
+"""Timestamped hypergraphs in three parallel texts: sizes, vertices, times.
+
+A text is a file, or a folder of files as Spark writes them, which follow one another in the order of their names (shorter names first,
+as part 100000 comes after part 99999). Files that can be split are read by ranges of bytes.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cliquora.operators.durable import durable, sized
+
 #: Name -> (folder, file prefix) of data sets on local or shared storage; register() adds to it. Nothing is downloaded.
 DATASETS: dict[str, tuple[str, str]] = {}
 
@@ -15,14 +21,17 @@ def register(name: str, folder: str, prefix: str) -> None:
 
 
 def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(line, name): the numbers of a text file with their line numbers from 0.
+    """(line, name): the numbers of a text with their line numbers from 0. Empty lines count, but have no row.
 
-    Line numbers come in two steps, so that no task sees the whole file: lines a partition, then the partitions' starts.
+    Line numbers come in two steps, so that no task sees the whole text: the lines of each range of bytes, then the ranges' starts.
+    A line belongs to the range that it begins in, and the lines of a range have consecutive ids. A folder without files has no rows.
     """
-    lines = spark.read.text(path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"), F.trim("value").alias("value"))
-    counts = lines.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    starts = counts.select("part", "first", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("start"))
-    return lines.join(F.broadcast(starts), "part").where("value <> ''").select((F.col("id") - F.col("first") + F.col("start")).alias("line"), F.col("value").cast("long").alias(name))
+    where = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = spark.read.text(path).select(*where, F.monotonically_increasing_id().alias("id"), F.trim("value").alias("value"))
+    counts = lines.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(W.orderBy(F.length("file"), "file", "at")) - F.col("n")
+    starts = sized(durable(counts.select("file", "at", (before - F.col("first")).alias("shift"))))
+    return lines.join(starts, ["file", "at"]).where("value <> ''").select((F.col("id") + F.col("shift")).alias("line"), F.col("value").cast("long").alias(name))
 
 
 def read_coauthors(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
@@ -34,7 +43,7 @@ def read_coauthors(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
     block = F.floor(F.col("line") / 65536)
     blocks = sizes.groupBy(block.alias("block")).agg(F.sum("n").alias("total"))
     blocks = blocks.select("block", (F.sum("total").over(W.orderBy("block")) - F.col("total")).alias("before"))
-    own = sizes.withColumn("block", block).join(F.broadcast(blocks), "block")
+    own = sizes.withColumn("block", block).join(sized(durable(blocks)), "block")
     start = F.col("before") + F.sum("n").over(W.partitionBy("block").orderBy("line")) - F.col("n")
     # every slot of a simplex is a line of the vertex file: an equi-join instead of a range join
     slots = own.select(F.col("line").alias("sid"), "n", start.alias("start")).where("n > 0").select("sid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("line"))

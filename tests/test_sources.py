@@ -25,6 +25,30 @@ def test_coauthors(spark, tmp_path):
         datasets.load_dataset(spark, "y")
 
 
+@pytest.mark.parametrize("block", ["128m", "200b"])
+def test_coauthors_in_many_files(spark, tmp_path, block):
+    """Folders of files that are read by ranges of bytes, against the lists that they were written from."""
+    simplices = [[(7 * i + j) % 101 for j in range(i % 5)] for i in range(400)]
+    years = [1950 + i % 60 for i in range(400)]
+    texts = {"nverts": [len(x) for x in simplices], "simplices": [v for x in simplices for v in x], "times": years}
+    for text, values in texts.items():
+        folder, cuts = tmp_path / f"y-{text}.txt", [0, 3, 3, 50, 51, len(values)]
+        folder.mkdir()
+        names = [f"part-{i:05}-a.txt" for i in (0, 1, 2, 99999)] + ["part-100000-a.txt"]
+        for own, start, end in zip(names, cuts, cuts[1:], strict=False):
+            (folder / own).write_text("".join(f"{v}\n" for v in values[start:end]))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        datasets.register("many", str(tmp_path), "y")
+        found = datasets.load_dataset(spark, "many").collect()
+        parts = spark.read.text(str(tmp_path / "y-simplices.txt")).select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert sorted((r.sid, r.year, r.vertices) for r in found) == [(i, y, x) for i, (y, x) in enumerate(zip(years, simplices, strict=True))]
+    assert parts > 8 if block == "200b" else parts == 4
+
+
 def test_adjacency(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0, 0.0]), (1, [0.0, 0.0, 0.0]), (2, [0.0, 0.0, 0.0])], "i long, row array<double>")
     assert sorted(r.members for r in SimplicialComplex.from_adjacency(rows).simplices.collect()) == [[0, 1], [2]]
@@ -49,7 +73,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["bundle", "ssv", "connectivity", "graph_components_capped", "persistence_capped", "consensus_vectors", "edge_cleaning"])
+@pytest.mark.parametrize("name", ["bundle", "ssv", "connectivity", "graph_components_capped", "persistence_capped", "consensus_vectors", "edge_cleaning", "coauthors"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in "nation customer supplier orders lineitem embeddings".split():
