@@ -213,29 +213,45 @@ def numbered(cliques: DataFrame, ranked: int = RANKED) -> DataFrame:
     return dealt.join(starts, ["complex_id", "part"]).select("complex_id", (F.col("at") + F.col("start")).alias("sid"), "members")
 
 
+def by_degree(edges: DataFrame) -> DataFrame:
+    """(complex_id, x, y, w): each edge from the end of fewer edges (of equal ones the lesser) to the other.
+
+    So no vertex has more than sqrt(2 m) later neighbours, of m edges; a hub has only other hubs.
+    """
+    degree = both_ways(edges).groupBy("complex_id", "v").agg(F.count("*").alias("n"))
+    for end in "uv":
+        edges = edges.join(degree.select("complex_id", F.col("v").alias(end), F.col("n").alias("n_" + end)), ["complex_id", end])
+    ends = F.array_sort(F.array(F.struct(F.col("n_u").alias("n"), F.col("u").alias("at")), F.struct(F.col("n_v").alias("n"), F.col("v").alias("at"))))
+    return edges.select("complex_id", ends[0]["at"].alias("x"), ends[1]["at"].alias("y"), "w")
+
+
 def k_cliques(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(complex_id, size, members, birth): all cliques up to a size, by extension with later common neighbours.
 
-    birth is the largest weight of its edges where edges have a weight w (null for single vertices), else null. Each level is
-    a join with the adjacency and is written to the checkpoint folder.
+    birth is the largest weight of its edges where edges have a weight w (null for single vertices), else null. Vertices are in the
+    order of by_degree, so that a row has sqrt(2 m) neighbours at most. Each level is a join with the adjacency and is written to the
+    checkpoint folder.
     """
     weighted = "w" in edges.columns
-    edges = edges if weighted else edges.withColumn("w", F.lit(None).cast("double"))
-    # of each vertex its later neighbours, and the weights to earlier ones
-    later = edges.groupBy("complex_id", F.col("u").alias("x")).agg(F.sort_array(F.collect_list("v")).alias("later"))
-    earlier = edges.groupBy("complex_id", F.col("v").alias("x")).agg(F.map_from_entries(F.collect_list(F.struct("u", F.coalesce("w", F.lit(0.0)).alias("w")))).alias("weights"))
+    edges = edges.withColumn("w", F.coalesce("w", F.lit(0.0)) if weighted else F.lit(0.0))
+    # of each vertex its later neighbours, with the weights
+    later = by_degree(edges).groupBy("complex_id", "x").agg(F.collect_list(F.struct("y", "w")).alias("later"))
     ends = both_ways(edges).select("complex_id", F.col("v").alias("x")).distinct()
-    near = durable(ends.join(later, ["complex_id", "x"], "left").join(earlier, ["complex_id", "x"], "left").withColumn("later", F.coalesce("later", F.array().cast("array<bigint>"))))
+    near = durable(ends.join(later, ["complex_id", "x"], "left").withColumn("later", F.coalesce("later", F.array().cast(later.schema["later"].dataType))))
+    # common: the later neighbours of all members, with the largest weight of an edge to a member
     level = near.select("complex_id", F.array("x").alias("members"), F.col("later").alias("common"), F.lit(None).cast("double").alias("birth"))
     out, size = level, 1
     while most is None or size < most:
-        step = level.where(F.size("common") > 0).select("complex_id", "members", "common", "birth", F.explode("common").alias("x")).join(near, ["complex_id", "x"])
-        own = F.array_max(F.transform("members", lambda m: F.element_at("weights", m)))
-        level = durable(step.select("complex_id", F.array_append("members", F.col("x")).alias("members"), F.array_intersect("common", "later").alias("common"), F.greatest("birth", own).alias("birth")))
+        step = level.select("complex_id", "members", "common", "birth", F.explode("common").alias("new")).select("*", F.col("new.y").alias("x")).join(near, ["complex_id", "x"])
+        # in order, a neighbour of both stands beside itself
+        step = step.withColumn("sorted", F.array_sort(F.concat("common", "later")))
+        twins = F.transform("sorted", lambda c, i: F.when(F.get("sorted", i + 1)["y"] == c["y"], F.struct(c["y"].alias("y"), F.greatest(c["w"], F.get("sorted", i + 1)["w"]).alias("w"))))
+        both = F.filter(twins, lambda c: c.isNotNull()).alias("common")
+        level = durable(step.select("complex_id", F.array_append("members", F.col("x")).alias("members"), both, F.greatest("birth", "new.w").alias("birth")))
         if level.isEmpty():
             break
         out, size = out.unionByName(level), size + 1
-    return out.select("complex_id", F.size("members").alias("size"), "members", F.col("birth") if weighted else F.lit(None).cast("double").alias("birth"))
+    return out.select("complex_id", F.size("members").alias("size"), F.array_sort("members").alias("members"), F.col("birth") if weighted else F.lit(None).cast("double").alias("birth"))
 
 
 def edge_cliques(cliques: DataFrame, u: int, v: int) -> DataFrame:

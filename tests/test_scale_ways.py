@@ -111,6 +111,17 @@ def test_no_clique_size_is_cut(spark):
     assert [r["count"] for r in cliques.k_cliques(path).groupBy("size").count().orderBy("size").collect()] == [11, 55, 165, 330, 462, 462, 330, 165, 55, 11, 1]
 
 
+def test_cliques_of_a_hub_by_levels(spark):
+    """A hub of 3000 leaves has no later neighbour but those of as many edges; births are the largest weights."""
+    weight = {(u, v): float((7 * u + 3 * v) % 23) for u, v in [*itertools.combinations(range(5), 2), *((0, leaf) for leaf in range(5, 3005)), *((5, leaf) for leaf in range(6, 9))]}
+    edges = spark.createDataFrame([(0, u, v, w) for (u, v), w in weight.items()], "complex_id long, u long, v long, w double")
+    rows_of = cliques.by_degree(edges).groupBy("x").count().collect()
+    assert max(r["count"] for r in rows_of) ** 2 <= 2 * len(weight) and 0 not in {r.x for r in rows_of}
+    got = {tuple(r.members): r.birth for r in cliques.k_cliques(edges).where("size > 1").collect()}
+    larger = [c for k in (3, 4, 5) for c in itertools.combinations(range(5), k)] + [(0, 5, leaf) for leaf in range(6, 9)]
+    assert got == {c: max(weight[e] for e in itertools.combinations(c, 2)) for c in [*weight, *larger]}
+
+
 def test_transformer_keeps_isolated_vertices(spark):
     edges = spark.createDataFrame([(0, 0, 2), (1, None, None), (2, 0, 1), (2, 1, 2), (2, 0, 2)], "complex_id long, u long, v long")
     matrices = {0: [[0, 0, 1], [0, 0, 0], [1, 0, 0]], 1: [[0] * 3] * 3, 2: [[0, 1, 1], [1, 0, 1], [1, 1, 0]]}
