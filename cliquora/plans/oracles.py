@@ -223,7 +223,7 @@ ORACLES = {
     "edge_rows": persistence(NATION_STEPS, 1),
     "edge_pairs": "select distinct least(l_suppkey, l_partkey)::bigint as u, greatest(l_suppkey, l_partkey)::bigint as v from lineitem where l_suppkey <> l_partkey",
     "coauthors": """select year(o_orderdate)::int as year, row_number() over (order by o_orderkey) - 1 as sid, coalesce(vs, '') as vertices
-        from orders left join (select l_orderkey, string_agg(l_suppkey::varchar, ' ' order by l_linenumber) as vs from lineitem group by l_orderkey) on l_orderkey = o_orderkey""",
+        from orders left join (select l_orderkey, string_agg(l_suppkey::varchar, ' ' order by l_linenumber, l_suppkey) as vs from lineitem group by l_orderkey) on l_orderkey = o_orderkey""",
     "scale_free": "select x::bigint as complex_id, 60::bigint as vertices, (3 * 57)::bigint as edges, 3::bigint as least, 3::bigint as most from range(20) r(x)",
     "degree_graph": with_(NATIONS, " select vertex, count(*) as degree from (select u as vertex from ge union all select v from ge) group by vertex"),
     "components_at": with_(NATIONS, COMPLEX, CONNECTED, " select sid, component from comp where q = 2"),

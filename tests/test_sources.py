@@ -83,3 +83,13 @@ def test_against_sql(spark, name):
     tidy = lambda rows: sorted([tuple(str(round(x, 6) + 0.0) if isinstance(x, float) else str(x) for x in r) for r in rows])
     want = con.execute(f"select {', '.join(columns)} from ({entry.oracle_sql()[name]})").fetchall()
     assert tidy(map(tuple, got.select(columns).collect())) == tidy(want)
+
+
+def test_lines_of_one_number_go_by_supplier(spark, tmp_path):
+    from cliquora.plans import views
+    from cliquora.sources import datasets
+
+    spark.createDataFrame([(1, 2, 9), (1, 1, 7), (1, 1, 3), (1, 1, 5)], "l_orderkey long, l_linenumber int, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select 1L as o_orderkey, date'2020-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    found = datasets.read_coauthors(spark, views.coauthor_files(spark, str(tmp_path)), "orders").collect()
+    assert [list(r.vertices) for r in found] == [[3, 5, 7, 9]]
