@@ -7,7 +7,8 @@ born with their lightest edge), and the links are the (q+2)-cliques, each joinin
 maximal cliques: within a clique any two (q+1)-subsets are joined by swapping one vertex at a time. Cliques come from joins, links
 are thinned to a spanning forest in each task, and a level of a graph is one group: it sweeps its thresholds once.
 
-`dense` (no max_q: all levels): the number of cliques would explode, so only maximal ones are held. A graph's weights are cut into
+`dense` (no max_q: all levels): the number of cliques would explode, so only maximal ones are held. A large graph is cut into its
+connected parts, whose communities never meet, each a graph from here on. A graph's weights are cut into
 ranges of about RANGE edges, each a task of its own. It builds the graph of all lighter edges, finds its maximal cliques and their
 communities at every level, and lets the weights of its range rise once: an edge's new maximal cliques are searched among the common
 neighbours of its ends, compared with those that there are (numpy, on bit sets), and join their communities. Two tasks number the
@@ -31,8 +32,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cliquora.operators.cliques import k_cliques
-from cliquora.operators.components import Union
-from cliquora.operators.durable import durable, looped
+from cliquora.operators.components import Union, stars
+from cliquora.operators.durable import durable, looped, sized
 from cliquora.sources.matrices import clean_edges, edges_of_distances, edges_of_rows
 
 INF = float("inf")
@@ -392,10 +393,34 @@ def births(nodes: DataFrame) -> DataFrame:
     return rows.drop("up")
 
 
+def parted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges whose complex_id is the number of their connected part, and (part, name) of the parts, name being the complex's."""
+    end = lambda x: F.struct("complex_id", F.col(x).alias("x"))
+    roots = stars(edges.select(end("u").alias("a"), end("v").alias("b")))
+    parts = durable(roots.select("root").distinct().withColumn("part", F.monotonically_increasing_id()))
+    own = roots.join(sized(parts), "root").select(F.col("node.complex_id").alias("complex_id"), F.col("node.x").alias("u"), "part")
+    rows = edges.join(own, ["complex_id", "u"]).select(F.col("part").alias("complex_id"), "u", "v", "w")
+    return durable(rows), parts.select("part", F.col("root.complex_id").alias("name"))
+
+
 def dense(edges: DataFrame, at_most: int | None = None) -> DataFrame:
-    """The intervals of all levels. at_most: edges that a task lets rise, after all lighter ones (RANGE)."""
+    """The intervals of all levels. at_most: edges that a task lets rise, after all lighter ones of their connected part (RANGE).
+
+    Communities of two parts never meet, so that graphs of more edges are cut into their connected parts.
+    """
+    at_most = RANGE if at_most is None else at_most
+    edges = durable(edges.select("complex_id", "u", "v", "w"))
+    if edges.groupBy("complex_id").agg(F.count("*").alias("n")).where(F.col("n") > at_most).isEmpty():
+        return dense_parts(edges, at_most)
+    rows, parts = parted(edges)
+    found = dense_parts(rows, at_most).withColumnRenamed("complex_id", "part").join(sized(parts), "part")
+    return found.select(F.col("name").alias("complex_id"), "q", "birth", "death", "members")
+
+
+def dense_parts(edges: DataFrame, at_most: int) -> DataFrame:
+    """dense, of edges whose complex_id tells what goes to one task."""
     kind = edges.schema["complex_id"].dataType.simpleString()
-    rows = ranges(edges, RANGE if at_most is None else at_most)
+    rows = ranges(edges, at_most)
     rows = rows.withColumn("task", F.explode(F.sequence("at", F.col("n") - 1)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -155,3 +155,18 @@ def test_births_up_a_long_chain(spark):
     found = persistence.births(spark.createDataFrame(nodes, "complex_id long, node long, up long, birth double"))
     want = {(0, i): (None if i < 7 else 7.0 if i < 40 else 3.0) for i in range(91)} | {(0, 200): 3.0, (1, 5): 2.0}
     assert {(r.complex_id, r.node): r.birth for r in found.collect()} == want
+
+
+def test_large_graphs_go_by_connected_parts(spark):
+    import random
+
+    from cliquora.operators import persistence
+
+    r = random.Random(5)
+    one = [(u, v, float(r.randint(1, 6))) for u in range(9) for v in range(u + 1, 9) if r.random() < 0.6]
+    edges = spark.createDataFrame([(c, u + 9 * k, v + 9 * k, w) for c in "ab" for k in range(2) for u, v, w in one], "complex_id string, u long, v long, w double")
+    rows, parts = persistence.parted(edges)
+    assert parts.count() == 4 and rows.groupBy("complex_id").count().where(f"count = {len(one)}").count() == 4
+    found = sorted((r.complex_id, r.q, r.birth, r.death, tuple(r.members)) for r in persistence.dense(edges, len(one) + 1).collect())
+    want = sorted((c, q, b, d, tuple(x + 9 * k for x in m)) for c in "ab" for k in range(2) for q, b, d, m in persistence.swept(one))
+    assert found == want
