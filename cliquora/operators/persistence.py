@@ -7,8 +7,10 @@ born with their lightest edge), and the links are the (q+2)-cliques, each joinin
 maximal cliques: within a clique any two (q+1)-subsets are joined by swapping one vertex at a time. Cliques come from joins, links
 are thinned to a spanning forest in each task, and a level of a graph is one group: it sweeps its thresholds once.
 
-`dense` (no max_q: all levels): the number of cliques would explode, so only maximal ones are held. A large graph is cut into its
-connected parts, whose communities never meet, each a graph from here on. A graph's weights are cut into
+`dense` (no max_q: all levels): the number of cliques may explode, so only maximal ones are held. A large graph is cut into its
+connected parts, whose communities never meet, each a graph from here on. If these have FEW cliques an edge or less (counted level by
+level), `capped` goes up to the largest one: a range's task holds all that is lighter, which grows with the square of a sparse graph.
+Else a graph's weights are cut into
 ranges of about RANGE edges, each a task of its own. It builds the graph of all lighter edges, finds its maximal cliques and their
 communities at every level, and lets the weights of its range rise once: an edge's new maximal cliques are searched among the common
 neighbours of its ends, compared with those that there are (numpy, on bit sets), and join their communities. Two tasks number the
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cliquora.operators.cliques import k_cliques
+from cliquora.operators.cliques import few_cliques, k_cliques
 from cliquora.operators.components import Union, stars
 from cliquora.operators.durable import durable, looped, sized
 from cliquora.sources.matrices import clean_edges, edges_of_distances, edges_of_rows
@@ -39,6 +41,8 @@ from cliquora.sources.matrices import clean_edges, edges_of_distances, edges_of_
 INF = float("inf")
 #: Stands for the birth of what was born before a range of weights.
 BEFORE = -INF
+#: Cliques for each edge up to which all of them are listed.
+FEW = 6
 #: Edges that a task lets rise, and the most borders between such ranges in a graph; a node's number has the range above so many bits.
 RANGE, CUTS, NODE = 512, 63, 40
 
@@ -59,7 +63,7 @@ def sweep(objects: list[tuple[float, tuple[int, ...]]], links: list[tuple[float,
         steps.setdefault(weight, ([], []))[1].append((a, b))
     for t in sorted(steps):
         born, joined = steps[t]
-        touched = set()
+        touched, new = set(), set(born)
         old: dict[tuple, list] = {}  # new roots and the communities that they had before the step
         for members in born:
             sets.root(members)
@@ -71,7 +75,7 @@ def sweep(objects: list[tuple[float, tuple[int, ...]]], links: list[tuple[float,
             old.setdefault(sets.root(x), []).append(x)
         for root, parts in old.items():
             before = [state.pop(x) for x in parts if x in state]
-            fresh = [x for x in parts if x in set(born)] if len(before) < len(parts) else []
+            fresh = [x for x in parts if x in new] if len(before) < len(parts) else []
             members = frozenset().union(*(m for _, m in before), *fresh)
             if not before:
                 state[root] = (t, members)
@@ -83,9 +87,10 @@ def sweep(objects: list[tuple[float, tuple[int, ...]]], links: list[tuple[float,
     return out + [(birth, INF, sorted(m)) for birth, m in state.values()]
 
 
-def capped(edges: DataFrame, max_q: int) -> DataFrame:
+def capped(edges: DataFrame, max_q: int, cliques: DataFrame | None = None) -> DataFrame:
+    """cliques: those of up to max_q + 2 vertices, if they are there."""
     kind = edges.schema["complex_id"].dataType.simpleString()
-    cliques = durable(k_cliques(edges, max_q + 2))
+    cliques = durable(k_cliques(edges, max_q + 2)) if cliques is None else cliques
     births = edges.select("complex_id", F.explode(F.array("u", "v")).alias("v"), "w").groupBy("complex_id", "v").agg(F.min("w").alias("birth"))
     zero = births.select("complex_id", F.lit(0).alias("q"), "birth", F.array("v").alias("a"), F.lit(None).cast("array<bigint>").alias("b"))
     objects = cliques.where((F.col("size") >= 2) & (F.col("size") <= max_q + 1)).select("complex_id", (F.col("size") - 1).alias("q"), "birth", F.col("members").alias("a"), F.lit(None).cast("array<bigint>").alias("b"))
@@ -406,14 +411,21 @@ def parted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dense(edges: DataFrame, at_most: int | None = None) -> DataFrame:
     """The intervals of all levels. at_most: edges that a task lets rise, after all lighter ones of their connected part (RANGE).
 
-    Communities of two parts never meet, so that graphs of more edges are cut into their connected parts.
+    Communities of two parts never meet, so that graphs of more edges are cut into their connected parts. Where these have few cliques,
+    all of them are listed, and a task sweeps a level of a part.
     """
     at_most = RANGE if at_most is None else at_most
     edges = durable(edges.select("complex_id", "u", "v", "w"))
     if edges.groupBy("complex_id").agg(F.count("*").alias("n")).where(F.col("n") > at_most).isEmpty():
         return dense_parts(edges, at_most)
     rows, parts = parted(edges)
-    found = dense_parts(rows, at_most).withColumnRenamed("complex_id", "part").join(sized(parts), "part")
+    cliques = few_cliques(rows, FEW * rows.count())
+    if cliques is None:
+        found = dense_parts(rows, at_most)
+    else:
+        top = cliques.agg(F.max("size")).first()[0]
+        found = capped(rows, top - 1, cliques)
+    found = found.withColumnRenamed("complex_id", "part").join(sized(parts), "part")
     return found.select(F.col("name").alias("complex_id"), "q", "birth", "death", "members")
 
 
